@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import common, sharding
+from hanmoa.llm import positional, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,22 @@ def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in a 13-word window of a benchmark item."""
+    out = positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        positional.items_sha256().alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
+    "op3_positional_decontamination": op3_positional_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
