@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,46 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             yield batch.slice(start)
 
 
-def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
+def by_group(
+    df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """Brings rows with equal ``keys`` (integers, not null) together and calls ``work`` on many whole groups at once.
+
+    ``work`` gets a table sorted by the keys and the places where its groups start. What it holds is one Arrow
+    batch and one group, so groups must be bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                change = np.zeros(table.num_rows, dtype=bool)
+                change[0] = True
+                for k in keys:
+                    v = table.column(k).to_numpy()
+                    change[1:] |= v[1:] != v[:-1]
+                yield from work(table, np.flatnonzero(change))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            last = np.ones(table.num_rows, dtype=bool)
+            for k in keys:
+                v = table.column(k).to_numpy()
+                last &= v == v[-1]
+            cut = table.num_rows - int(last.sum())
+            yield from whole(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from whole(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def as_bytes(batch: pa.RecordBatch | pa.Table, column: str) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()
 

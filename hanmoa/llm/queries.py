@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import positional, sharding
+from hanmoa.llm import hyperminhash, positional, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,15 @@ def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked at a Jaccard similarity of 0.85 of their 5-word shingles."""
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op3_positional_decontamination": op3_positional_decontamination,
+    "op9_hyperminhash_near_duplicates": op9_hyperminhash_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
