@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import hyperminhash, positional, sharding
+from hanmoa.llm import hyperminhash, positional, sharding, suffixruns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op6_suffix_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the bytes of 50-byte strings that start in an earlier document."""
+    return suffixruns.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents linked at a Jaccard similarity of 0.85 of their 5-word shingles."""
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
@@ -43,6 +48,7 @@ def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op3_positional_decontamination": op3_positional_decontamination,
+    "op6_suffix_run_dedup": op6_suffix_run_dedup,
     "op9_hyperminhash_near_duplicates": op9_hyperminhash_near_duplicates,
 }
 
