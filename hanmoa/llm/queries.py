@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import hyperminhash, positional, sharding, suffixruns
+from hanmoa.llm import hyperminhash, packing, positional, sharding, suffixruns, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,24 @@ def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the box keeps them outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_elias_fano_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a token file, read back."""
+    segments = tokenfile.write_token_file(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.read_token_file(segments)
+
+
+def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
 def op6_suffix_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents less the bytes of 50-byte strings that start in an earlier document."""
     return suffixruns.repeated_passages(table(spark, sf_dir, "documents"))
@@ -48,7 +66,9 @@ def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op3_positional_decontamination": op3_positional_decontamination,
+    "op5_elias_fano_token_file": op5_elias_fano_token_file,
     "op6_suffix_run_dedup": op6_suffix_run_dedup,
+    "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op9_hyperminhash_near_duplicates": op9_hyperminhash_near_duplicates,
 }
 
