@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import hyperminhash, packing, positional, sharding, suffixruns, tokenfile
+from hanmoa.llm import hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(n: int) -> F.Column:
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels of the fifth with remainder 0 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneserney.train(docs, table(spark, sf_dir, "labels"), usable=fold(5) != 0)
+    out = kneserney.score_documents(docs, model)
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in a 13-word window of a benchmark item."""
     out = positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,6 +78,7 @@ def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
+    "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_positional_decontamination": op3_positional_decontamination,
     "op5_elias_fano_token_file": op5_elias_fano_token_file,
     "op6_suffix_run_dedup": op6_suffix_run_dedup,
