@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile
+from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op4_cross_parse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; the quarter with remainder 2 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = crossparse.identify(docs, crossparse.train(docs, usable=fold(4) != 2))
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary(name: str) -> str:
     """A public tokenizer's file; the box keeps them outside the repository."""
     import public_tokenizers
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
     "op3_positional_decontamination": op3_positional_decontamination,
+    "op4_cross_parse_language": op4_cross_parse_language,
     "op5_elias_fano_token_file": op5_elias_fano_token_file,
     "op6_suffix_run_dedup": op6_suffix_run_dedup,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
