@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile
+from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op10_consistent_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return weighted.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consistent_hash_shards": op1_consistent_hash_shards,
     "op2_kneser_ney_toxicity": op2_kneser_ney_toxicity,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_run_dedup": op6_suffix_run_dedup,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
     "op9_hyperminhash_near_duplicates": op9_hyperminhash_near_duplicates,
+    "op10_consistent_weighted_fingerprints": op10_consistent_weighted_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
