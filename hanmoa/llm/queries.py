@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, tokenfile, weighted
+from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, templates, tokenfile, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op6_suffix_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixruns.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return templates.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_hyperminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents linked at a Jaccard similarity of 0.85 of their 5-word shingles."""
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_elias_fano_token_file": op5_elias_fano_token_file,
     "op6_suffix_run_dedup": op6_suffix_run_dedup,
     "op7_cost_balanced_packing": op7_cost_balanced_packing,
+    "op8_template_extraction": op8_template_extraction,
     "op9_hyperminhash_near_duplicates": op9_hyperminhash_near_duplicates,
     "op10_consistent_weighted_fingerprints": op10_consistent_weighted_fingerprints,
 }
