@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 48 << 20
 
 _made: dict[str, list[str]] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, owner: str) -> str:
-    """A new path below the shared folder, to be dropped by ``drop_scratch(spark, owner)``."""
+    """A new path below the shared folder, to be dropped by ``drop_scratch(spark, owner)``; within a scope it is the scope's."""
+    owner = _scopes[-1] if _scopes else owner
     path = f"{shared_dir(spark)}/hanmoa/{owner}/{uuid.uuid4().hex}"
     _made.setdefault(owner, []).append(path)
     return path
@@ -45,6 +48,17 @@ def drop_scratch(spark: SparkSession, owner: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scope(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Drops what the owner had, and lays to it all scratch tables made within."""
+    drop_scratch(spark, owner)
+    _scopes.append(owner)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 def stored(df: DataFrame, owner: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as a scratch table and reads it back: lineage ends here, and nothing is worked out twice."""
     spark = df.sparkSession

@@ -224,3 +224,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns, in one pass."""
+    if 12 * (len(model.grams) + len(model.contexts)) > 2 * BROADCAST_BYTES:
+        raise ValueError("the models have grown beyond what may be sent to all tasks")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            yield batch.filter(pa.array(sent.value.scores(as_bytes(batch, "text")) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
