@@ -1,14 +1,87 @@
-"""The corpus pipeline: toxicity, near-dedup, repeated passages, decontamination, packing."""
+"""The corpus pipeline: toxicity, near-dedup, repeated passages, decontamination, packing.
+
+Each stage takes what the one before kept, as Parquet, and all but the last return the columns of ``documents``
+(doc_id, text, lang, source, n_chars; n_chars follows a changed text). No order of rows is kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hanmoa.llm import common, hyperminhash, kneserney, packing, positional, suffixruns
+from hanmoa.llm.queries import table, vocabulary
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Drops what earlier stages left in the shared folder: their results are written when the next stage begins."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.scope(spark, "pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def _rest(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+
+
+@_stage
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models, learned from all labels, score at 0.5 or more go."""
+    model = kneserney.train(docs, table(spark, sf_dir, "labels"))
+    return kneserney.keep_ordinary(docs, model)
+
+
+@_stage
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a Jaccard similarity of 0.8 of their 5-word shingles the smallest doc_id stays."""
+    found = common.stored(hyperminhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "pipeline")
+    return common.join_small(docs, found, "doc_id", "left_anti", 16).select(*docs.columns)
+
+
+@_stage
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that start in a smaller doc_id go; documents that lose all they had go."""
+    cut = suffixruns.repeated_passages(docs, carry=_rest(docs), keep_text=True)
+    kept = cut.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    return kept.select("doc_id", F.col("kept").alias("text"), *_rest(docs), F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+
+
+@_stage
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more lie in 13-word windows of a benchmark item go."""
+    found = positional.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = common.stored(found.where("contaminated").select("doc_id").distinct(), "pipeline")
+    return common.join_small(docs, gone, "doc_id", "left_anti", 16).select(*docs.columns)
+
+
+@_stage
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2, capacity=4096)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("passages", passages),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
+#: SQL expresses neither the models of the first stage nor the tokenizer of the last.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies all stages to ``documents``, each one's result written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = common.scratch(spark, "run")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return docs
