@@ -9,18 +9,46 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 #: Pieces kept by a worker at most; beyond that it starts anew.
-KEPT = 500_000
+KEPT = 800_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(rf"[ \n\t\r]*[{_LETTER}]+(?=[!-/:-@\[-`{{-~])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space beyond blank, line feed, tab and carriage return, by any of the libraries.
 _OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
 
-_loaded: dict[str, "Encoder"] = {}
+_WORD = re.compile(rf" ?[{_LETTER}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_LETTERS = _byte_letters()
+#: Ways to hand a single word to the merges alone, tried on PROBES; a vocabulary that fits none encodes all by the library.
+_PLAIN = (lambda w: w, lambda w: w.lstrip(" ").lower())
+PROBES = [" the", "Ärger", " Straße", "x", " Zq", "ÉLAN", " naïveté", "aaaaaaaaaaaaa"]
+
+
+class Kept(dict):
+    """Ids of pieces, worked out when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -34,25 +62,38 @@ class Encoder:
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.kept: dict[str, bytes] = {}
+        self.merges = self.library.model.tokenize
+        self.plain = next((p for p in _PLAIN if all(self._word(w, p) == self._whole(w) for w in PROBES)), None)
+        self.pieces = Kept(self._piece)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str, plain: Callable[[str], str]) -> bytes:
+        word = plain(word)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return self._bytes([t.id for t in self.merges(word.replace(" ", _LETTERS[32]))])
+
+    def _piece(self, piece: str) -> bytes:
+        if self.plain and _WORD.fullmatch(piece):
+            return self._word(piece, self.plain)
+        return self._whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [[t] if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept = self.kept
-        new = [p for p in set().union(*pieces) if p not in kept]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            kept.update(zip(some, self._encode(some), strict=True))
-        out = [b"".join(map(kept.__getitem__, p)) for p in pieces]
-        for p in new:
-            if len(p) > 64:
-                del kept[p]
-        return out
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        get = self.pieces.__getitem__
+        return [self._whole(t) if _OTHER_SPACE.search(t) else b"".join(map(get, _PIECE.findall(t))) for t in texts]
+
+
+_loaded: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
