@@ -13,7 +13,7 @@ def ids(df):
     return [r["id"] for r in df.collect()]
 
 
-@pytest.mark.parametrize("policy", [SearchPolicy(), SearchPolicy("lazy"), SearchPolicy("ngram", 2), SearchPolicy("ngram", 3)])
+@pytest.mark.parametrize("policy", [SearchPolicy(), SearchPolicy("ngram", 2)])
 def test_search(spark, policy):
     index = HangulIndex(items(spark, ["프론트", "프론트엔드", "백엔드", None]), "name", "id", policy)
     assert ids(index.search("ㅍㄹㅌ", "prefix")) == [0, 1]
