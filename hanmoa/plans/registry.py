@@ -155,6 +155,44 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.telemetry(calls)
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit(" "), (F.col("user_id") % 50).cast("string")).alias("query"), F.col("event_type").alias("selected_key"), "ts", F.col("event_id").alias("seq"))
+
+
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs seen twice at least."""
+    return feedback.training_samples(_events(spark, sf_dir), 100_000, 2)
+
+
+def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of events and distinct queries."""
+    return feedback.summary(_events(spark, sf_dir), 5).select("total_events", "distinct_queries", F.size("top_pairs").cast("long").alias("n_top"))
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 1000 events to come in of those that are fresh."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return feedback.retained(_events(spark, sf_dir), now, 400 * 86400, 1000).select("seq")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of another type than the one before of their user."""
+    e = _table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.min("event_type").alias("event_type"))
+    return feedback.without_repeats(e, "user_id", "ts", "event_type").select("user_id", "event_type", "ts")
+
+
+def weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights that tuning tries."""
+    from dataclasses import astuple
+
+    from hanmoa.operators.similarity import Weights
+    from hanmoa.operators.tuning import weight_candidates
+
+    rows = [(i, *astuple(w)) for i, w in enumerate(weight_candidates(Weights(), 80))]
+    return spark.createDataFrame(rows, "id int, edit double, jaccard double, keyboard double, jamo double, prefix double, exact double")
+
+
 _CALLS = "(SELECT ['search', 'similar', 'explain'][event_id % 3 + 1] AS kind, event_id % 2 = 0 AS is_async, ['success', 'cancelled', 'failure', 'success'][event_id % 4 + 1] AS outcome, event_id % 5 = 0 AS cache_hit, user_id AS returned FROM events)"
 _CALL_SQL = ", ".join(
     [f"count(*) FILTER (kind = '{k}' AND NOT is_async) AS sync_{k}_count" for k in ("search", "similar", "explain")]
@@ -181,6 +219,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "days": _scalar(lambda: numerals.days(F.col("n"))),
     "standardize_pronunciation": _scalar(lambda: pronunciation.standardize_pronunciation(F.col("word"))),
     "romanize": _scalar(lambda: pronunciation.romanize(F.col("word"))),
+    "compose": _scalar(lambda: syllables.compose_syllable((F.col("id") % 19).cast("int"), (F.col("id") % 21).cast("int"), (F.col("id") % 28).cast("int"))),
+    "disassemble_to_groups": _scalar(lambda: F.array_join(F.transform(syllables.disassemble_to_groups(F.col("word")), lambda g: F.array_join(g, "")), "|")),
+    "combine_character": _scalar(lambda: syllables.combine_character(F.get(syllables.choseongs(), (F.col("id") % 19).cast("int")), F.get(syllables.jungseongs(), (F.col("id") % 21).cast("int")), F.get(syllables.jongseongs(), (F.col("id") % 28).cast("int")))),
+    "choseong_strict": _scalar(lambda: syllables.get_choseong_strict(F.concat(F.col("word"), F.lit(" "), F.col("p_name")))),
+    "can_be_jongseong": _scalar(lambda: syllables.can_be_jongseong(F.get(syllables.choseongs(), (F.col("id") % 19).cast("int")))),
+    "qwerty_to_hangul": _scalar(lambda: keyboard.qwerty_to_hangul(keyboard.hangul_to_qwerty(F.col("word")))),
+    "normalize": _scalar(lambda: syllables.normalize(F.concat(F.lit(" \t"), F.col("word"), F.lit("\n ")))),
+    "susa_modifier": _scalar(lambda: numerals.susa(F.col("n"), modifier=True)),
+    "josa_and": _scalar(lambda: particles.josa(F.col("word"), "와/과")),
+    "amount_to_hangul": lambda s, d: _amounts(s, d).select("id", numerals.amount_to_hangul(F.concat(F.lit("KRW "), F.format_number("k", 0), F.lit(".00"))).alias("out")),
+    "training_samples": training,
+    "feedback_summary": feedback_summary,
+    "retention": retention,
+    "changes": changes,
+    "weight_candidates": weight_table,
     "number_to_hangul": lambda s, d: _amounts(s, d).select("id", numerals.number_to_hangul(F.col("k")).alias("out")),
     "number_to_hangul_mixed": lambda s, d: _amounts(s, d).select("id", numerals.number_to_hangul_mixed(F.col("k")).alias("out")),
     "search_onsets": search_onsets,
@@ -205,6 +258,20 @@ ORACLES: dict[str, str] = {
     "susa": _sql(f"CASE WHEN p_size BETWEEN 1 AND 100 THEN {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.ONES, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
     "seosusa": _sql(f"CASE p_size WHEN 1 THEN '첫' WHEN 2 THEN '둘' WHEN 20 THEN '스무' ELSE {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.ORDINALS, '(p_size % 10)')} END || '째'"),
     "days": _sql(f"CASE WHEN p_size > 30 THEN p_size::VARCHAR || '일' WHEN p_size = 10 THEN '열흘' WHEN p_size = 20 THEN '스무날' WHEN p_size = 30 THEN '서른날' ELSE {_pick(['', '열', '스무'], '(p_size // 10)')} || {_pick(numerals.DAYS, '(p_size % 10)')} END"),
+    "compose": _sql("chr((44032 + (p_partkey % 19) * 588 + (p_partkey % 21) * 28 + p_partkey % 28)::INT)"),
+    "disassemble_to_groups": _sql(" || '|' || ".join(f"{_pick(ONSETS, f'({c} // 588)')} || {_pick(_SPLIT_V, f'(({c} % 588) // 28)')} || {_pick(_SPLIT_T, f'({c} % 28)')}" for c in (_code(_K, i) for i in range(3)))),
+    "combine_character": _sql("chr((44032 + (p_partkey % 19) * 588 + (p_partkey % 21) * 28 + p_partkey % 28)::INT)"),
+    "choseong_strict": _sql(f"{_onsets(_K)} || ' ' || regexp_replace(p_name, '[^ ]', '', 'g')"),
+    "can_be_jongseong": _sql(f"list_contains({_list(FINALS)}, {_pick(ONSETS, '(p_partkey % 19)')})"),
+    "qwerty_to_hangul": _sql(_word(_K)),
+    "normalize": _sql(_word(_K)),
+    "susa_modifier": _sql(f"CASE WHEN p_size = 20 THEN '스무' WHEN p_size BETWEEN 1 AND 100 THEN {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.MODIFIERS, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
+    "josa_and": _sql(f"{_word(_K)} || CASE WHEN {_LAST} % 28 > 0 THEN '과' ELSE '와' END"),
+    "amount_to_hangul": f"SELECT id, {_WORDS} AS out FROM {_AMOUNTS}",
+    "training_samples": "SELECT (user_id % 50)::VARCHAR AS query, event_type AS expected_key FROM events GROUP BY 1, 2 HAVING count(*) >= 2",
+    "feedback_summary": "SELECT count(*) AS total_events, count(DISTINCT user_id % 50) AS distinct_queries, 5::BIGINT AS n_top FROM events",
+    "retention": "SELECT event_id AS seq FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 400 DAY ORDER BY event_id DESC LIMIT 1000",
+    "changes": "SELECT user_id, event_type, ts FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM (SELECT user_id, ts, min(event_type) AS event_type FROM events GROUP BY 1, 2)) WHERE before IS DISTINCT FROM event_type",
     "number_to_hangul": f"SELECT id, {_WORDS} AS out FROM {_AMOUNTS}",
     "number_to_hangul_mixed": f"SELECT id, {_MIXED} AS out FROM {_AMOUNTS}",
     "search_onsets": _CONTAINS,
