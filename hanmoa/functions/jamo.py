@@ -6,6 +6,8 @@ one together is decoding a code point; all of it stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,5 +73,10 @@ def compose(l: Column, v: Column, t: Column) -> Column:  # noqa: E741
     return F.when(fits, F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used: as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_space(s: Column) -> Column:
     return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hanmoa.functions.jamo import chars, strings, trim_space
+from hanmoa.functions.jamo import bind, chars, strings, trim_space
 
 # Digits, units within four digits and of each four digits, native numbers, days, ordinals.
 DIGITS = list("영일이삼사오육칠팔구")
@@ -115,22 +115,28 @@ def number_to_hangul(number: Column, spacing: bool = False, double: bool = False
 
     Text that is no number is zero and empty text is empty. Fraction digits are read one by one.
     """
-    s = trim_space(_as_text(number, double))
-    p = parse_decimal(s)
+    out = bind(trim_space(_as_text(number, double)), lambda s: bind(parse_decimal(s), lambda p: _in_words(s, p, spacing)))
+    return F.when(number.isNotNull(), out)
+
+
+def _in_words(s: Column, p: Column, spacing: bool) -> Column:
     gap = " " if spacing else ""
     nonzero = F.concat(p["whole"], p["fraction"]).rlike("[1-9]")
     sign = F.when(p["negative"] & nonzero, f"마이너스{gap}").otherwise("")
     fraction = F.array_join(F.transform(chars(p["fraction"]), lambda d: F.get(strings(DIGITS), d.cast("int"))), "")
     point = F.when(p["fraction"] == "", "").otherwise(F.concat(F.lit(f"점{gap}"), fraction))
     words = F.concat(sign, _spoken(p["whole"], spacing), point)
-    out = F.when(s == "", "").otherwise(F.coalesce(infinity(s, False, spacing), words, F.lit(DIGITS[0])))
-    return F.when(number.isNotNull(), out)
+    return F.when(s == "", "").otherwise(F.coalesce(infinity(s, False, spacing), words, F.lit(DIGITS[0])))
 
 
 def number_to_hangul_mixed(number: Column, spacing: bool = False, double: bool = False) -> Column:
     """A number in digits with commas and a unit for each four."""
-    s = trim_space(_as_text(number, double))
-    p = parse_decimal(s)
+    zero = F.when(F.isnan(number), "0") if double else F.lit(None).cast("string")
+    out = bind(trim_space(_as_text(number, double)), lambda s: bind(parse_decimal(s), lambda p: _in_digits(s, p, spacing, zero)))
+    return F.when(number.isNotNull(), out)
+
+
+def _in_digits(s: Column, p: Column, spacing: bool, zero: Column) -> Column:
     nonzero = F.concat(p["whole"], p["fraction"]).rlike("[1-9]")
     groups = F.transform(
         F.filter(_fours(p["whole"]), lambda g: g["four"] != "0000"),
@@ -142,17 +148,18 @@ def number_to_hangul_mixed(number: Column, spacing: bool = False, double: bool =
         F.when(joined == "", "0").otherwise(joined),
         F.when(p["fraction"] == "", "").otherwise(F.concat(F.lit("."), p["fraction"])),
     )
-    zero = F.when(F.isnan(number), "0") if double else F.lit(None).cast("string")
-    out = F.when(s == "", "").otherwise(F.coalesce(zero, infinity(s, True, spacing), words, F.lit(DIGITS[0])))
-    return F.when(number.isNotNull(), out)
+    return F.when(s == "", "").otherwise(F.coalesce(zero, infinity(s, True, spacing), words, F.lit(DIGITS[0])))
 
 
 def amount_to_hangul(amount: Column) -> Column:
     """The digits and points of a text in words; a sign is passed over and zeros at a fraction's end are dropped."""
-    compact = F.regexp_replace(amount.cast("string"), "[^0-9.]", "")
+    return F.when(amount.isNotNull(), bind(F.regexp_replace(amount.cast("string"), "[^0-9.]", ""), _amount))
+
+
+def _amount(compact: Column) -> Column:
     parts = F.split(F.regexp_replace(compact, "^[.]+", ""), "[.]", 2)
     whole = F.get(parts, F.lit(0))
     whole = F.when(F.coalesce(whole, F.lit("")) == "", F.when(compact == "", "").otherwise("0")).otherwise(F.when(whole == "0", whole).otherwise(F.regexp_replace(whole, "^0+", "")))
     fraction = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "0+$", "")
     text = F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
-    return F.when(amount.isNotNull(), F.when(compact == "", DIGITS[0]).otherwise(number_to_hangul(text)))
+    return F.when(compact == "", DIGITS[0]).otherwise(number_to_hangul(text))
