@@ -39,30 +39,47 @@ _U = np.uint64
 def terms(text: bytes) -> Counter:
     """Words, A-Z lower-cased, and how often each occurs."""
     words = space_words(text)
-    if any(len(w) > WORD_BYTES for w in words):
+    if words and max(map(len, words)) > WORD_BYTES:
         words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
     return Counter(words)
 
 
-def _uniform(seed: np.ndarray, stream: int) -> np.ndarray:
-    """Uniform variates in (0, 1), a row of SAMPLES for each seed."""
-    x = seed[:, None] + _U(0x9E3779B97F4A7C15) * (np.arange(SAMPLES, dtype=np.uint64) * _U(8) + _U(stream + 1))
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return ((x ^ (x >> _U(31))) >> _U(11)).astype(np.float64) / 2**53 + 2.0**-54
+def _bits(seed: np.ndarray, stream: int) -> np.ndarray:
+    """64 hash bits for each seed and sample."""
+    x = seed[:, None] + _U(0x9E3779B97F4A7C15) * (np.arange(SAMPLES, dtype=np.uint64) * _U(4) + _U(stream + 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> _U(shift)
+        x *= _U(factor)
+    x ^= x >> _U(31)
+    return x
+
+
+def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform variates in (0, 1) from the upper and lower half of each."""
+    pair = bits.view(np.uint32).reshape(*bits.shape, 2)
+    out = pair.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-32)
+    np.minimum(out, np.float32(1 - 2.0**-24), out=out)
+    return out[..., 0], out[..., 1]
 
 
 def draws(seed: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each weighted term: the number of each sample, of which the least wins, and a byte of the winner's name."""
-    gamma_r = -np.log(_uniform(seed, 0) * _uniform(seed, 1))  # Gamma(2, 1)
-    gamma_c = -np.log(_uniform(seed, 2) * _uniform(seed, 3))
-    beta = _uniform(seed, 4)
-    step = np.floor(np.log(weight)[:, None] / gamma_r + beta)
-    number = np.log(gamma_c) - gamma_r * (step - beta) - gamma_r
-    name = (seed[:, None] ^ (step.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
-    name += np.arange(SAMPLES, dtype=np.uint64) * _U(0xA24BAED4963EE407)
-    name = (name ^ (name >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return number.astype(np.float32), (name >> _U(56)).astype(np.uint8)
+    a, b = _halves(_bits(seed, 0))
+    gamma_r = -np.log(a * b)  # Gamma(2, 1)
+    a, b = _halves(_bits(seed, 1))
+    gamma_c = -np.log(a * b)
+    third = _bits(seed, 2)
+    beta = _halves(third)[0]
+    step = np.zeros(beta.shape, dtype=np.float32)  # a weight of 1 has a logarithm of 0, and beta is below 1
+    more = np.flatnonzero(weight > 1)
+    if len(more):
+        step[more] = np.floor(np.log(weight[more]).astype(np.float32)[:, None] / gamma_r[more] + beta[more])
+    number = np.log(gamma_c) - gamma_r * (step - beta + np.float32(1))
+    # the half of the bits that beta doesn't use, so that a winner's name isn't bound to its winning
+    name = (third >> _U(32) ^ (step.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
+    return number, (name >> _U(56)).astype(np.uint8)
 
 
 class Sampler:
@@ -79,8 +96,8 @@ class Sampler:
             more = max(end, 2 * len(self.number)) - len(self.number)
             self.number = np.concatenate([self.number, np.empty((more, SAMPLES), dtype=np.float32)])
             self.name = np.concatenate([self.name, np.empty((more, SAMPLES), dtype=np.uint8)])
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        for at in range(0, len(new), 256):  # what is worked on stays in the cache
+            some = new[at : at + 256]
             seed = np.array([xxhash.xxh3_64_intdigest(w) for w, _ in some], dtype=np.uint64)
             base = len(self.row)
             rows = slice(base, base + len(some))
