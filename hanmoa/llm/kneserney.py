@@ -205,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None) ->
     held = F.pmod(F.xxhash64("doc_id", F.lit("scale")), F.lit(HELD_FOR_SCALE)) == 0
     text = docs.select("doc_id", F.substring_index(F.col("text"), " ", SAMPLE_WORDS).alias("text"))
     sample = text.join(F.broadcast(chosen.withColumn("held", held)), "doc_id").select("text", "toxic", "held").collect()
-    rows = sorted((alnum_words((r["text"] or "").encode()), r["toxic"], r["held"]) for r in sample)
+    once: dict[bytes, bytes] = {}  # a word that many rows have is held once
+    rows = sorted(([once.setdefault(w, w) for w in alnum_words((r["text"] or "").encode())], r["toxic"], r["held"]) for r in sample)
+    del sample
     return fit_rows(rows, prior)
 
 
