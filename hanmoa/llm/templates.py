@@ -2,11 +2,14 @@
 
 A page is a stream of tokens: its structural tags, each with the path that it stands in, and its blocks of text. Over the
 pages of one host every token has an occurrence vector, how often it is in each page. Tokens with equal vectors
-are an equivalence class; a class in at least SUPPORT of the host's pages is valid, and classes nest by their paths
-into the host's template. What stands between template tokens is a slot. Slots outside of content are
-left out by the path that encloses them: menus, headers, footers, side bars, notices, adverts, forms, comments. If the
-template has an article, the slots in it are the main text; else those that remain, less blocks that the template itself
-holds. Vectors are compared by sums of hashes over pages, so that a host of any size is counted where its pages are.
+are an equivalence class; a class in at least SUPPORT of the host's pages is valid. Valid classes are the host's template,
+nested by the paths of their tokens; what stands between template tokens is in a slot.
+
+Which slots are main text: not those in elements and marks that fixed lists name (menus, headers, footers, side bars,
+notices, adverts, forms, comments). If the template has an article, the slots in it are the main text, else those that
+remain. Text of the template itself is no slot: it goes, class by class, the widest first, but from an article not the class
+that would leave it empty (copies of one article). Vectors are compared by sums of hashes over pages, so that a host of any
+size is counted where its pages are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from hanmoa.llm.common import as_bytes, join_small, slices, stored
 
 #: Share of a host's pages that a valid class is in, and the fewest pages that make text a part of the template.
 SUPPORT, LEAST_PAGES = 0.5, 3
-TEMPLATE_BYTES = 4096  # of one host, about, for the size check of the join
 
 # Fixed values of HTML: elements whose content is no markup, elements that never have content, elements that flow in a line.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
@@ -122,11 +124,16 @@ def article_of(path: str) -> str:
 
 
 class Template:
-    """What the pages of a host share."""
+    """What the pages of a host share: its valid classes as [pages, times, tokens].
 
-    def __init__(self, paths: list[str], texts: list[str]):
-        self.texts = set(texts)
-        kinds = {article_of(p) for p in paths if is_content(p)}
+    times is how often a token of the class is in all pages together. Without classes nothing is known of the host.
+    """
+
+    def __init__(self, classes: list[list]):
+        #: Of each text of the template, its class; classes go by falling number of pages.
+        ordered = sorted((c for c in classes if c[0] >= LEAST_PAGES), key=lambda c: (-c[0], c[2]))
+        self.texts = {t: i for i, (_, _, tokens) in enumerate(ordered) for t in tokens if "#" in t}
+        kinds = {article_of(p) for _, _, tokens in classes for p in tokens if "#" not in p and is_content(p)}
         self.main = "article" if "article" in kinds else "main" if "main" in kinds else ""
 
     def extract(self, page: str) -> str:
@@ -136,8 +143,10 @@ class Template:
         main = self.main if self.main in kinds else "article" if "article" in kinds else "main" if "main" in kinds else ""
         if main:
             blocks = [(p, t) for p, t in blocks if article_of(p) == main or (main == "main" and article_of(p))]
-        else:
-            blocks = [(p, t) for p, t in blocks if _text_token(p, t) not in self.texts]
+        if self.texts:
+            of = [self.texts.get(_text_token(p, t), -1) for p, t in blocks]
+            stays = max(of, default=-1) if main and -1 not in of else -1  # all are the template's: the narrowest class stays
+            blocks = [b for b, c in zip(blocks, of, strict=True) if c in (-1, stays)]
         return "\n\n".join(t for _, t in blocks)
 
 
@@ -145,13 +154,13 @@ def _text_token(path: str, text: str) -> str:
     return f"{path}#{xxhash.xxh3_64_hexdigest(text.encode())}"
 
 
-VECTORS = "host string, token string, pages long, first long, second long"
+VECTORS = "host string, token string, pages long, times long, first long, second long"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By host and token: pages that have it, and sums over pages of two hashes of the page and how often it is there."""
+    """By host and token: pages that have it, how often all do, and sums over pages of two hashes of the page and how often it is there."""
     for batch in slices(batches, "html", 4 << 20):
-        out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+        out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for url, page in zip(batch.column("url").to_pylist(), as_bytes(batch, "html"), strict=True):
             if page is None:
                 continue
@@ -165,51 +174,56 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for host in {host_of(url), ""}:  # the empty host has all pages
                     v = out[host, token]
                     v[0] += 1
-                    v[1] += h & 0x7FFFFFFF
-                    v[2] += h >> 33
+                    v[1] += n
+                    v[2] += h & 0x7FFFFFFF
+                    v[3] += h >> 33
         yield pa.record_batch(
             [
                 pa.array([k[0] for k in out], pa.string()),
                 pa.array([k[1] for k in out], pa.string()),
-                *(pa.array([v[i] for v in out.values()], pa.int64()) for i in range(3)),
+                *(pa.array([v[i] for v in out.values()], pa.int64()) for i in range(4)),
             ],
-            names=["host", "token", "pages", "first", "second"],
+            names=["host", "token", "pages", "times", "first", "second"],
         )
 
 
-def classes(pages: DataFrame) -> DataFrame:
-    """(host, pages, first, second, tokens): a row for each valid equivalence class, tokens with one occurrence vector.
+def vectors(pages: DataFrame) -> DataFrame:
+    """(host, token, pages, times, first, second), less texts of one page; stored."""
+    seen = pages.select("url", "html").mapInArrow(_vectors, VECTORS)
+    total = seen.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "first", "second")))
+    return stored(total.where("pages >= 2 or token not like '%#%'"), "templates")
+
+
+def classes(total: DataFrame) -> DataFrame:
+    """(host, pages, times, tokens): a row for each valid equivalence class, tokens with one occurrence vector.
 
-    Of tokens in at least SUPPORT of a host's pages there are at most 1 / SUPPORT times as many as a page has.
+    Of tokens in at least SUPPORT of a host's pages there are at most 1 / SUPPORT times as many as a page has. The empty
+    token stands for the page, so its class is what each page has once.
     """
-    seen = pages.select("url", "html").mapInArrow(_vectors, VECTORS)
-    total = seen.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "first", "second")))
-    total = stored(total.where("pages >= 2 or token not like '%#%'"), "templates")
     every = total.where("token = ''").select("host", F.col("pages").alias("all"))
-    valid = total.where("token != ''").join(every, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
-    return valid.groupBy("host", "pages", "first", "second").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    valid = total.join(every, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    return valid.groupBy("host", "pages", "times", "first", "second").agg(F.sort_array(F.collect_list("token")).alias("tokens")).drop("first", "second")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the nested classes of each host as JSON; the empty host stands for all pages."""
-    token = classes(pages).select("host", "pages", F.explode("tokens").alias("token"))
-    text = F.col("token").contains("#")
-    return token.groupBy("host").agg(
-        F.to_json(
-            F.struct(
-                F.sort_array(F.collect_list(F.when(~text, F.col("token")))).alias("paths"),
-                F.sort_array(F.collect_list(F.when(text & (F.col("pages") >= LEAST_PAGES), F.col("token")))).alias("texts"),
-            )
-        ).alias("template")
+    """(host, template): each host's valid classes as JSON; the empty host stands for all pages."""
+    total = vectors(pages)
+    return classes(total).groupBy("host").agg(
+        F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("pages", "times", "tokens"))).alias("classes"))).alias("template")
     )
 
 
+def _read(template: str) -> Template:
+    held = json.loads(template)
+    return Template([[c["pages"], c["times"], c["tokens"]] for c in held["classes"]])
+
+
 @lru_cache(4096)
 def _template(own: str | None, general: str | None) -> Template:
     """A host's template; where its pages show no main element, that of all pages tells which there is."""
-    t = Template(**json.loads(own)) if own else Template([], [])
+    t = _read(own) if own else Template([])
     if not t.main and general:
-        t.main = Template(**json.loads(general)).main
+        t.main = _read(general).main
     return t
 
 
@@ -225,7 +239,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     default = general[0]["template"] if general else None
     host = F.udf(host_of, "string", useArrow=True)
     rows = pages.select("page_id", "url", "html").withColumn("host", host("url"))
-    rows = join_small(rows, made.where("host != ''"), "host", "left", TEMPLATE_BYTES)
+    own = made.where("host != ''")
+    widest = own.agg(F.max(F.octet_length("host") + F.octet_length("template"))).first()[0] or 0
+    rows = join_small(rows, own, "host", "left", widest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 4 << 20):
