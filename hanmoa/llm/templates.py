@@ -6,7 +6,8 @@ are an equivalence class; a class in at least SUPPORT of the host's pages is val
 nested by the paths of their tokens; what stands between template tokens is in a slot.
 
 Which slots are main text: not those in elements and marks that fixed lists name (menus, headers, footers, side bars,
-notices, adverts, forms, comments). If the template has an article, the slots in it are the main text, else those that
+notices, adverts, forms, comments). A mark counts if the template shows that its region repeats, and an element that
+encloses the page's article never counts. If the template has an article, the slots in it are the main text, else those that
 remain. Text of the template itself is no slot: it goes, class by class, the widest first, but from an article not the class
 that would leave it empty (copies of one article). Vectors are compared by sums of hashes over pages, so that a host of any
 size is counted where its pages are.
@@ -40,6 +41,10 @@ STRUCTURE = {"html", "head", "body", "nav", "header", "footer", "aside", "main",
 # Elements and words of class, id or role that say that a part of a page is not its main text.
 NOT_CONTENT = {"head", "nav", "aside", "footer", "form", "dialog", "menu", "button", "select", "svg", "object", "header"}
 WORDS_NOT_CONTENT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pagination", "pager", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+#: Words that may stand beside those in a mark; those of the last set leave a header in the content.
+QUALIFIERS = {"site", "page", "main", "global", "left", "right", "top", "bottom", "primary", "secondary", "list", "box", "area", "bar", "block", "container", "wrapper", "section", "inner", "links", "posts", "form"}
+OF_ARTICLE = {"entry", "post", "article"}
+COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -57,10 +62,30 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _kind(mark: str) -> str:
+    """What a whole mark names: ``c`` comments, ``h`` a header, ``o`` another part outside of content; else empty."""
+    parts = {p for p in re.split(r"[-_:]+", mark) if p}
+    named = parts & WORDS_NOT_CONTENT
+    if not named or parts - named - QUALIFIERS - OF_ARTICLE:
+        return ""
+    if named & COMMENTS:
+        return "c"
+    if named == {"header"}:
+        return "" if parts & OF_ARTICLE else "h"
+    return "o"
+
+
+@lru_cache(65536)
+def _step_of(name: str, marks: tuple[str, ...]) -> str:
+    kinds = {_kind(w) for w in marks[:8]} if name not in ("html", "body", "main") else set()
+    short = "".join("." + re.sub(r"[/#.!~]", "_", w) for w in marks[:8])
+    return name + short + next((f"!{k}" for k in "coh" if k in kinds), "")
+
+
 def _step(name: str, rest: str) -> str:
-    """An element's step of a path: its name, and its class, id and role without digits."""
-    marks = sorted({w for m in _MARK.findall(rest) for w in re.sub(r"\d+", "", " ".join(m).lower()).split()}) if "=" in rest else []
-    return name + "".join(f".{w}" for w in marks[:8])
+    """An element's step of a path: its name, its class, id and role without digits of the first eight, and what these name."""
+    marks = {w for m in _MARK.findall(rest) for w in re.sub(r"\d+", "", " ".join(m).lower()).split()} if "=" in rest else ()
+    return _step_of(name, tuple(sorted(marks)))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -105,40 +130,86 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 @lru_cache(65536)
-def is_content(path: str) -> bool:
-    """Whether no element of the path is outside of content; a header within an article is inside."""
-    within = False
+def outside(path: str) -> tuple[tuple[str, str], ...]:
+    """(path, kind) of the elements of a path that are named outside of content: ``n`` by the element, else its marks' kind.
+
+    A header within an article is inside.
+    """
+    out, within, at = [], False, ""
     for step in path.split("/")[1:]:
-        name, *marks = step.split(".")
-        if (name in NOT_CONTENT and not (within and name == "header")) or any(not WORDS_NOT_CONTENT.isdisjoint(re.split(r"[-_:]+", w)) for w in marks):
-            return False
+        at += "/" + step
+        name, kind = re.split(r"[.!]", step)[0], step.partition("!")[2]
+        if name in NOT_CONTENT and not (within and name == "header"):
+            out.append((at, "n"))
+        elif kind and not (within and kind == "h"):
+            out.append((at, kind))
         within = within or name in ("article", "main")
-    return True
+    return tuple(out)
+
+
+def is_content(path: str) -> bool:
+    """Whether no element of the path is named outside of content."""
+    return not outside(path)
 
 
 @lru_cache(65536)
 def article_of(path: str) -> str:
     """The innermost kind of main element that the path is in: article, main or none."""
-    names = {s.split(".")[0] for s in path.split("/")}
+    names = {re.split(r"[.!]", s)[0] for s in path.split("/")}
     return "article" if "article" in names else "main" if "main" in names else ""
 
 
+def _name(path: str) -> str:
+    return re.split(r"[.!]", path.rpartition("/")[2])[0]
+
+
 class Template:
-    """What the pages of a host share: its valid classes as [pages, times, tokens].
+    """What the pages of a host share: its valid classes as [pages, times, tokens], and marked paths that repeat.
 
     times is how often a token of the class is in all pages together. Without classes nothing is known of the host.
     """
 
-    def __init__(self, classes: list[list]):
+    def __init__(self, classes: list[list], regions: list[str]):
+        self.pages = max((pages for pages, _, tokens in classes if "" in tokens), default=0)
+        self.once = {t for pages, times, tokens in classes if times == pages for t in tokens}
         #: Of each text of the template, its class; classes go by falling number of pages.
         ordered = sorted((c for c in classes if c[0] >= LEAST_PAGES), key=lambda c: (-c[0], c[2]))
         self.texts = {t: i for i, (_, _, tokens) in enumerate(ordered) for t in tokens if "#" in t}
+        self.regions = set(regions)
         kinds = {article_of(p) for _, _, tokens in classes for p in tokens if "#" not in p and is_content(p)}
         self.main = "article" if "article" in kinds else "main" if "main" in kinds else ""
 
+    def left_out(self, path: str) -> list[tuple[str, str]]:
+        """What of ``outside`` holds here: of a host with several pages, marked regions must repeat."""
+        return [(p, k) for p, k in outside(path) if k == "n" or self.pages < 2 or p in self.regions]
+
+    def spared(self, opened: list[str], blocks: list[tuple[str, str]]) -> set[str]:
+        """Elements that enclose the page's one article, where none stands free and it has more text than what does."""
+        slots = [p for p in opened if _name(p) in ("article", "main")]
+        found = []
+        for p in slots:
+            out = self.left_out(p)
+            if not out:
+                return set()
+            alone = p in self.once or (self.pages < 2 and slots.count(p) == 1) or _name(p) == "main"
+            if alone and all(_name(q) in ("form", "header", "object") if k == "n" else k != "c" for q, k in out):
+                found.append((len(out), p, {q for q, _ in out}))
+        if not found:
+            return set()
+        _, slot, out = min(found, key=lambda f: f[:2])
+        inside = sum(len(t) for p, t in blocks if f"{p}/".startswith(f"{slot}/") and out.issuperset(q for q, _ in self.left_out(p)))
+        return out if inside > sum(len(t) for p, t in blocks if not self.left_out(p)) else set()
+
     def extract(self, page: str) -> str:
         """The text of the main slots."""
-        blocks = [(path, text) for kind, path, text in tokens(page) if kind == "text" and is_content(path)]
+        opened, blocks = [], []
+        for kind, path, text in tokens(page):
+            if kind == "text":
+                blocks.append((path, text))
+            else:
+                opened.append(path)
+        spared = self.spared(opened, blocks)
+        blocks = [(p, t) for p, t in blocks if spared.issuperset(q for q, _ in self.left_out(p))]
         kinds = {article_of(path) for path, _ in blocks}
         main = self.main if self.main in kinds else "article" if "article" in kinds else "main" if "main" in kinds else ""
         if main:
@@ -206,22 +277,24 @@ def classes(total: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): each host's valid classes as JSON; the empty host stands for all pages."""
+    """(host, template): each host's valid classes, and its marked paths of two pages or more, as JSON; the empty host stands for all pages."""
     total = vectors(pages)
-    return classes(total).groupBy("host").agg(
-        F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("pages", "times", "tokens"))).alias("classes"))).alias("template")
+    valid = classes(total).select("host", F.struct("pages", "times", "tokens").alias("class"), F.lit(None).cast("string").alias("region"))
+    marked = total.where("host != '' and pages >= 2 and token rlike '![a-z]$'").select("host", F.lit(None).cast(valid.schema["class"].dataType).alias("class"), F.col("token").alias("region"))
+    return valid.unionAll(marked).groupBy("host").agg(
+        F.to_json(F.struct(F.sort_array(F.collect_list("class")).alias("classes"), F.sort_array(F.collect_list("region")).alias("regions"))).alias("template")
     )
 
 
 def _read(template: str) -> Template:
     held = json.loads(template)
-    return Template([[c["pages"], c["times"], c["tokens"]] for c in held["classes"]])
+    return Template([[c["pages"], c["times"], c["tokens"]] for c in held["classes"]], held["regions"])
 
 
 @lru_cache(4096)
 def _template(own: str | None, general: str | None) -> Template:
     """A host's template; where its pages show no main element, that of all pages tells which there is."""
-    t = _read(own) if own else Template([])
+    t = _read(own) if own else Template([], [])
     if not t.main and general:
         t.main = _read(general).main
     return t

@@ -13,3 +13,19 @@ def test_template_text_goes_from_articles_by_class(spark):
     pages = [f"<body><article><p>Sign up now<p>story {i}</article>" for i in range(2)]
     pages += ["<body><article><p>Sign up now<p>copied one<p>copied two</article>"] * 4
     assert texts(spark, pages) == ["story 0", "story 1", *["copied one\n\ncopied two"] * 4]
+
+
+def test_wrappers_and_loose_marks_stay(spark):
+    shells = [
+        "<body class=no-sidebar><article>{}</article>",
+        "<body><div class=has-sidebar><article>{}</article></div>",
+        "<body><article class='post no-comments'>{}</article>",
+        "<body><form><article>{}</article><nav>m</nav></form>",
+        "<body><div class=widget><main>{}</main></div>",
+        "<body><article><div class=entry-header>{}</div><div class=comments-area>c</div></article>",
+    ]
+    for shell in shells:
+        assert texts(spark, [shell.format(f"story {i}") for i in range(3)]) == [f"story {i}" for i in range(3)], shell
+    once = "<body><article>story {}<div class={}>aside</div></article>"
+    assert texts(spark, [once.format(0, "notice"), once.format(1, "x"), once.format(2, "x")])[0] == "story 0\n\naside"
+    assert texts(spark, [f"<body><div>a long story {i}</div><div class=comments><article>c{i}</article></div>" for i in range(2)]) == ["a long story 0", "a long story 1"]
