@@ -77,13 +77,15 @@ def _kind(mark: str) -> str:
 
 @lru_cache(65536)
 def _step_of(name: str, marks: tuple[str, ...]) -> str:
-    kinds = {_kind(w) for w in marks[:8]} if name not in ("html", "body", "main") else set()
+    kinds = {_kind(w) for w in marks} if name not in ("html", "body", "main") else set()
     short = "".join("." + re.sub(r"[/#.!~]", "_", w) for w in marks[:8])
+    if len(marks) > 8:
+        short += "~" + xxhash.xxh3_64_hexdigest(" ".join(marks).encode())
     return name + short + next((f"!{k}" for k in "coh" if k in kinds), "")
 
 
 def _step(name: str, rest: str) -> str:
-    """An element's step of a path: its name, its class, id and role without digits of the first eight, and what these name."""
+    """An element's step of a path: its name, its class, id and role without digits (many shortened by a hash), and what they all name."""
     marks = {w for m in _MARK.findall(rest) for w in re.sub(r"\d+", "", " ".join(m).lower()).split()} if "=" in rest else ()
     return _step_of(name, tuple(sorted(marks)))
 

@@ -29,3 +29,11 @@ def test_wrappers_and_loose_marks_stay(spark):
     once = "<body><article>story {}<div class={}>aside</div></article>"
     assert texts(spark, [once.format(0, "notice"), once.format(1, "x"), once.format(2, "x")])[0] == "story 0\n\naside"
     assert texts(spark, [f"<body><div>a long story {i}</div><div class=comments><article>c{i}</article></div>" for i in range(2)]) == ["a long story 0", "a long story 1"]
+
+
+def test_all_marks_of_an_element_count(spark):
+    many = " ".join(f"{c}{c}" for c in "abcdefghij") + " w-1/2 md:x sidebar"
+    pages = [f"<body><div class='{many}'>advert {i}</div><div>story {i}</div>" for i in range(3)]
+    assert texts(spark, pages) == [f"story {i}" for i in range(3)]
+    other = many.replace("jj", "kk").replace("sidebar", "x")
+    assert templates._step("div", f"class='{many}'") != templates._step("div", f"class='{other}'") and "/" not in templates._step("div", f"class='{many}'")
