@@ -3,15 +3,16 @@
 For each language a suffix automaton holds all substrings of a sample of its labelled text. A text is parsed
 against each: from where a phrase starts it goes on for as long as the automaton has it, then the next begins. The
 language that needs fewest phrases, n log2(sample length) / characters, wins. Letters count lower-cased, and any run
-of other characters as one blank. Texts are parsed in stretches of STRETCH characters, thousands at a time, by
-table look-ups; a phrase ends with its stretch.
+of other characters as one blank. Every letter of any sample is told apart, so an automaton's steps are kept in a hash table
+by state and letter. Texts are parsed in stretches of STRETCH characters, thousands at a time, by look-ups; a phrase ends
+with its stretch.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,20 @@ from hanmoa.llm.common import slices
 
 #: Bounds of what the automata are built on: rows of a language (about, by a hash), characters of a row and of all.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 120, 1500, 24_000
-#: Distinct letters told apart; rarer ones are one symbol that no phrase contains.
-SYMBOLS = 120
+#: A letter that no sample has and no phrase contains; a run of what isn't a letter.
 UNKNOWN, BLANK = 0, 1
-#: Bytes of the table of all automata at most: with very many languages each one's sample gets shorter.
-TABLE_BYTES = 96 << 20
 STRETCH = 256
 UNDETERMINED = "und"
 
 
+@cache
 def _plain_symbols() -> np.ndarray:
-    """Of each code point up to 65535 (standing for all beyond it too), BLANK, or UNKNOWN if it is a letter."""
-    return np.array([UNKNOWN if chr(c).isalpha() else BLANK for c in range(1 << 16)], dtype=np.uint8)
+    """Of each code point, BLANK, or UNKNOWN if it is a letter."""
+    return np.array([UNKNOWN if chr(c).isalpha() else BLANK for c in range(0x110000)], dtype=np.int32)
 
 
 def symbols_of(text: str, symbol: np.ndarray) -> np.ndarray:
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = symbol[np.minimum(code, len(symbol) - 1)]
+    out = symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     again = np.zeros(len(out), dtype=bool)
     again[1:] = (out[1:] == BLANK) & (out[:-1] == BLANK)
     return out[~again]
@@ -82,49 +80,84 @@ class SuffixAutomaton:
             state = self.next[state][c]
         return True
 
-    def table(self, width: int) -> np.ndarray:
-        """Row by row the next state's place in the table, plus 1 where a new phrase begins; the last symbol stays put."""
-        out = np.full((len(self.next), width), -1, dtype=np.int32)
-        for state, nexts in enumerate(self.next):
-            for c, t in nexts.items():
-                out[state, c] = t * width
-        fresh = np.where(out[0] >= 0, out[0], 0) + 1  # begin with this symbol, or stay at the start
-        out = np.where(out >= 0, out, fresh)
-        out[:, width - 1] = np.arange(len(out)) * width
-        return out.ravel()
+    def steps(self) -> np.ndarray:
+        """Rows of state, symbol, next state."""
+        return np.array([(state, c, t) for state, nexts in enumerate(self.next) for c, t in nexts.items()], dtype=np.int64).reshape(-1, 3)
+
+
+class StepTable:
+    """Next states by state and symbol, in a hash table at most half full."""
+
+    def __init__(self, steps: np.ndarray, symbols: int):
+        self.symbols = symbols
+        bits = max(4, int(2 * len(steps)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, dtype=np.int64)
+        self.value = np.zeros(1 << bits, dtype=np.int32)
+        key = steps[:, 0] * symbols + steps[:, 1]
+        left, at = np.arange(len(key)), self._place(key)
+        while len(left):
+            free = self.key[at] < 0
+            slot, first = np.unique(at[free], return_index=True)
+            won = left[free][first]
+            self.key[slot], self.value[slot] = key[won], steps[won, 2]
+            lost = self.key[at] != key[left]
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each, and whether there is one; flat arrays."""
+        key = state * np.int64(self.symbols) + symbol
+        at = self._place(key)
+        held = self.key[at]
+        hit = held == key
+        left = np.flatnonzero(~hit & (held >= 0))
+        while len(left):
+            place = (at[left] + 1) & self.mask
+            at[left], held = place, self.key[place]
+            same = held == key[left]
+            hit[left[same]] = True
+            left = left[~same & (held >= 0)]
+        return self.value[at], hit
 
 
 @dataclass
 class Languages:
-    """Automata of some languages in one table."""
+    """Automata of some languages: their steps in one table, and by language the step of each symbol from its root."""
 
     names: list[str]
     symbol: np.ndarray
-    width: int
-    table: np.ndarray
+    table: StepTable
     roots: np.ndarray
+    fresh: np.ndarray
     bits: np.ndarray
 
     def phrases(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases needed, by text and language, and the symbols of each text."""
         size = np.array([len(c) for c in coded], dtype=np.int64)
         rows = -(-size // STRETCH)
-        grid = np.full((int(rows.sum()), STRETCH), self.width - 1, dtype=np.uint8)
         first = np.cumsum(rows) - rows
+        grid = np.zeros((int(rows.sum()), STRETCH), dtype=np.int32)
         flat = grid.ravel()
         for c, f in zip(coded, first.tolist(), strict=True):
             flat[f * STRETCH : f * STRETCH + len(c)] = c
-        columns = np.ascontiguousarray(grid.T)
+        of = np.repeat(np.arange(len(coded)), rows)
+        length = np.minimum(size[of] - STRETCH * (np.arange(len(of)) - first[of]), STRETCH)
+        order = np.argsort(-length, kind="stable")  # those that are done stand last
+        columns = np.ascontiguousarray(grid[order].T)
+        live = np.searchsorted(-length[order], -np.arange(STRETCH), side="left")
         state = np.repeat(self.roots[:, None], len(grid), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
-        for c in columns:
-            state += c
-            step = self.table[state]
-            new = step & 1
-            count += new
-            np.subtract(step, new, out=state)
-        of = np.repeat(np.arange(len(coded)), rows)
-        n = np.stack([np.bincount(of, weights=k, minlength=len(coded)) for k in count], axis=1)
+        for c, n in zip(columns, live.tolist(), strict=True):
+            if not n:
+                break
+            to, hit = self.table.find(state[:, :n].ravel(), np.tile(c[:n], len(state)))
+            hit = hit.reshape(-1, n)
+            state[:, :n] = np.where(hit, to.reshape(-1, n), self.fresh[:, c[:n]])
+            count[:, :n] += ~hit
+        n = np.stack([np.bincount(of[order], weights=k, minlength=len(coded)) for k in count], axis=1)
         return n + rows[:, None], size  # each stretch begins a phrase
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -144,24 +177,24 @@ class Languages:
 def build(samples: dict[str, list[str]]) -> Languages:
     """Automata of sample texts by language. Texts are parted by a blank."""
     joined = {name: [t.lower() for t in sorted(texts)] for name, texts in sorted(samples.items())}
-    common = Counter(c for texts in joined.values() for t in texts for c in t if c.isalpha() and ord(c) < 1 << 16)
-    letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
-    symbol = _plain_symbols()
-    for i, c in enumerate(letters):
-        symbol[ord(c)] = BLANK + 1 + i
-    width = len(letters) + 3
-    width += width % 2  # places in the table are even, so that the lowest bit is free
-    chars = min(SAMPLE_CHARS, TABLE_BYTES // (8 * width * max(1, len(joined))))
-    tables, roots, bits, at = [], [], [], 0
-    for texts in joined.values():
-        line = symbols_of(" ".join(texts), symbol)[:chars].tolist()
-        table = SuffixAutomaton(line).table(width)
-        table[UNKNOWN::width] = 1  # it is in no phrase: the next begins behind it
-        tables.append(table + at)
+    symbol = _plain_symbols().copy()
+    letters = sorted({c for texts in joined.values() for t in texts for c in t if c.isalpha()})
+    symbol[[ord(c) for c in letters]] = BLANK + 1 + np.arange(len(letters), dtype=np.int32)
+    width = BLANK + 1 + len(letters)
+    steps, roots, bits, at = [np.empty((0, 3), dtype=np.int64)], [], [], 0
+    fresh = np.zeros((len(joined), width), dtype=np.int32)
+    for row, texts in zip(fresh, joined.values(), strict=True):
+        line = symbols_of(" ".join(texts), symbol)[:SAMPLE_CHARS].tolist()
+        automaton = SuffixAutomaton(line)
+        own = automaton.steps() + np.array([at, 0, at])
+        row[:] = at
+        begin = own[own[:, 0] == at]
+        row[begin[:, 1]] = begin[:, 2]
+        steps.append(own)
         roots.append(at)
         bits.append(np.log2(max(2, len(line))))
-        at += len(table)
-    return Languages(list(joined), symbol, width, np.concatenate(tables or [np.empty(0, np.int32)]).astype(np.int32), np.array(roots, dtype=np.int32), np.array(bits))
+        at += len(automaton.next)
+    return Languages(list(joined), symbol, StepTable(np.concatenate(steps), width), np.array(roots, dtype=np.int64), fresh, np.array(bits))
 
 
 def train(docs: DataFrame, usable: F.Column | None = None) -> Languages:
