@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,8 +176,8 @@ class Languages:
 
 
 def build(samples: dict[str, list[str]]) -> Languages:
-    """Automata of sample texts by language. Texts are parted by a blank."""
-    joined = {name: [t.lower() for t in sorted(texts)] for name, texts in sorted(samples.items())}
+    """Automata of SAMPLE_CHARS characters of each language, of texts in the order of a hash, parted by a blank."""
+    joined = {name: [t.lower() for t in sorted(texts, key=lambda t: (xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), t))] for name, texts in sorted(samples.items())}
     symbol = _plain_symbols().copy()
     letters = sorted({c for texts in joined.values() for t in texts for c in t if c.isalpha()})
     symbol[[ord(c) for c in letters]] = BLANK + 1 + np.arange(len(letters), dtype=np.int32)

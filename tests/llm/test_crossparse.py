@@ -25,3 +25,17 @@ def test_steps_equal_the_automaton():
     state, symbol = (a.ravel() for a in np.meshgrid(np.arange(len(auto.next)), np.arange(10), indexing="ij"))
     to, hit = table.find(state, symbol)
     assert [t if h else None for t, h in zip(to.tolist(), hit.tolist(), strict=True)] == [auto.next[s].get(c) for s, c in zip(state.tolist(), symbol.tolist(), strict=True)]
+
+
+def test_many_languages_keep_their_samples():
+    words = {f"l{k:02}": ["".join(random.Random(k * 1000 + i).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for i in range(60)] for k in range(30)}
+    samples = {k: [" ".join(random.Random(i).choices(w, k=40)) for i in range(110)] for k, w in words.items()}
+    made = crossparse.build(samples)
+    assert made.bits.tolist() == [np.log2(crossparse.SAMPLE_CHARS)] * 30
+
+
+def test_sample_is_not_the_first_rows_by_text():
+    r = random.Random(3)
+    first, rest = (["".join(r.choices("bcdfgh", k=6)) for _ in range(40)] for _ in range(2))
+    samples = {"a": ["0 " + " ".join(r.choices(first, k=200)) for _ in range(60)] + ["z " + " ".join(r.choices(rest, k=200)) for _ in range(60)], "b": [" ".join(rest[:3])]}
+    assert crossparse.build(samples).predict([" ".join(rest[5:20])])[0] == ["a"] and crossparse.build(samples).phrases([crossparse.symbols_of(" ".join(rest), crossparse.build(samples).symbol)])[0][0, 0] < 80
