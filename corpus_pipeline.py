@@ -30,6 +30,24 @@ def _rest(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
 
 
+ROW = "hanmoa_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ROW, a key of each row that stands in for doc_id and goes up with it: doc_id itself, if no row repeats or lacks it.
+
+    Else rows are numbered by doc_id (nulls last), a hash of the text, one of the other columns and a tie number.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.xxhash64(F.lit(0), *_rest(docs)).asc()]
+    return common.stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "pipeline")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, learned from all labels, score at 0.5 or more go."""
@@ -39,25 +57,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.8 of their 5-word shingles the smallest doc_id stays."""
-    found = common.stored(hyperminhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "pipeline")
-    return common.join_small(docs, found, "doc_id", "left_anti", 16).select(*docs.columns)
+    """Of rows linked at a Jaccard similarity of 0.8 of their 5-word shingles one of the smallest doc_id stays."""
+    rows = _keyed(docs)
+    found = common.stored(hyperminhash.near_duplicates(_by_row(rows), words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(ROW)), "pipeline")
+    return common.join_small(rows, found, ROW, "left_anti", 16).select(*docs.columns)
 
 
 @_stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte strings that start in a smaller doc_id go; documents that lose all they had go."""
-    cut = suffixruns.repeated_passages(docs, carry=_rest(docs), keep_text=True)
+    """Bytes of 50-byte strings that start in a row before, by doc_id, go; documents that lose all they had go."""
+    rows = _keyed(docs).withColumnRenamed("doc_id", "own_id").withColumnRenamed(ROW, "doc_id")
+    cut = suffixruns.repeated_passages(rows, carry=["own_id", *_rest(docs)], keep_text=True)
     kept = cut.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    return kept.select("doc_id", F.col("kept").alias("text"), *_rest(docs), F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+    return kept.select(F.col("own_id").alias("doc_id"), F.col("kept").alias("text"), *_rest(docs), F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lie in 13-word windows of a benchmark item go."""
-    found = positional.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = common.stored(found.where("contaminated").select("doc_id").distinct(), "pipeline")
-    return common.join_small(docs, gone, "doc_id", "left_anti", 16).select(*docs.columns)
+    rows = _keyed(docs)
+    found = positional.contamination(_by_row(rows), table(spark, sf_dir, "benchmark"))
+    gone = common.stored(found.where("contaminated").select(F.col("doc_id").alias(ROW)), "pipeline")
+    return common.join_small(rows, gone, ROW, "left_anti", 16).select(*docs.columns)
 
 
 @_stage
