@@ -26,14 +26,12 @@ SAMPLES = 128
 CHANCE = 1 / 256
 #: Longer words are cut into pieces of this many bytes, so that a text without white space has terms too.
 WORD_BYTES = 24
-#: Terms, each with its weight, whose draws a task keeps.
+#: Terms, each with its weight, whose draws a worker keeps.
 KEPT = 120_000
 #: Texts' bytes worked on at once, about.
 CHUNK_BYTES = 512 << 10
-#: Ranges of doc_ids for each shuffle partition: several, as they are dealt to partitions by a hash.
-RANGES = 4
 
-_U = np.uint64
+_W = np.uint32
 
 
 def terms(text: bytes) -> Counter:
@@ -44,83 +42,133 @@ def terms(text: bytes) -> Counter:
     return Counter(words)
 
 
-def _bits(seed: np.ndarray, stream: int) -> np.ndarray:
-    """64 hash bits for each seed and sample."""
-    x = seed[:, None] + _U(0x9E3779B97F4A7C15) * (np.arange(SAMPLES, dtype=np.uint64) * _U(4) + _U(stream + 1))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> _U(shift)
-        x *= _U(factor)
-    x ^= x >> _U(31)
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finalises 32-bit values in place so that all bits depend on all."""
+    x ^= x >> _W(16)
+    x *= _W(0x85EBCA6B)
+    x ^= x >> _W(13)
+    x *= _W(0xC2B2AE35)
+    x ^= x >> _W(16)
     return x
 
 
-def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform variates in (0, 1) from the upper and lower half of each."""
-    pair = bits.view(np.uint32).reshape(*bits.shape, 2)
-    out = pair.astype(np.float32)
+def _bits(seed: np.ndarray, stream: int) -> np.ndarray:
+    """32 hash bits for each 64-bit seed and sample."""
+    low, high = (seed & np.uint64(0xFFFFFFFF)).astype(_W), (seed >> np.uint64(32)).astype(_W)
+    x = low[:, None] + (np.arange(SAMPLES, dtype=_W) * _W(8) + _W(stream + 1)) * _W(0x9E3779B9)
+    x ^= high[:, None]
+    return _mix(x)
+
+
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """In (0, 1), from the upper 24 bits."""
+    out = (bits >> _W(8)).astype(np.float32)
     out += np.float32(0.5)
-    out *= np.float32(2.0**-32)
-    np.minimum(out, np.float32(1 - 2.0**-24), out=out)
-    return out[..., 0], out[..., 1]
-
-
-def draws(seed: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each weighted term: the number of each sample, of which the least wins, and a byte of the winner's name."""
-    a, b = _halves(_bits(seed, 0))
-    gamma_r = -np.log(a * b)  # Gamma(2, 1)
-    a, b = _halves(_bits(seed, 1))
-    gamma_c = -np.log(a * b)
-    third = _bits(seed, 2)
-    beta = _halves(third)[0]
-    step = np.zeros(beta.shape, dtype=np.float32)  # a weight of 1 has a logarithm of 0, and beta is below 1
-    more = np.flatnonzero(weight > 1)
-    if len(more):
-        step[more] = np.floor(np.log(weight[more]).astype(np.float32)[:, None] / gamma_r[more] + beta[more])
-    number = np.log(gamma_c) - gamma_r * (step - beta + np.float32(1))
-    # the half of the bits that beta doesn't use, so that a winner's name isn't bound to its winning
-    name = (third >> _U(32) ^ (step.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
-    return number, (name >> _U(56)).astype(np.uint8)
+    out *= np.float32(2.0**-24)
+    return out
+
+
+def _gamma(seed: np.ndarray, stream: int) -> np.ndarray:
+    """Gamma(2, 1) variates from two streams."""
+    product = _uniform(_bits(seed, stream))
+    product *= _uniform(_bits(seed, stream + 1))
+    np.log(product, out=product)
+    return np.negative(product, out=product)
+
+
+def draws(seed: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each weighted term and sample a whole number of which the least wins; its low byte names term and step.
+
+    The upper bits are those of the sampled number in an order that whole numbers keep.
+    """
+    gamma_r, number = _gamma(seed, 0), _gamma(seed, 2)
+    last = _bits(seed, 4)
+    beta = _uniform(last)
+    np.log(number, out=number)
+    if weight.max() > 1:
+        step = np.floor(np.log(weight).astype(np.float32)[:, None] / gamma_r + beta)
+        number -= gamma_r * (step - beta + np.float32(1))
+        last += step.astype(_W) * _W(0x27D4EB2F)
+    else:  # a weight of 1 has a logarithm of 0, and beta is below 1: the step is 0
+        gamma_r *= np.float32(1) - beta
+        number -= gamma_r
+    key = number.view(np.int32)
+    key ^= (key >> np.int32(31)) & np.int32(0x7FFFFFFF)
+    key &= np.int32(~255)
+    # of the hash that beta is from, but mixed anew, so that a winner's name isn't bound to its winning
+    key |= (_mix(last) >> _W(24)).view(np.int32)
+    return key
+
+
+class Rows(dict):
+    """The table row of each term, given out when first asked for. A term of weight 1 is its word, others are (word, weight)."""
+
+    def __init__(self, names: list):
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.names = names
+
+    def __missing__(self, name: bytes | tuple[bytes, int]) -> int:
+        row = self[name] = len(self.names)
+        self.names.append(name)
+        return row
 
 
 class Sampler:
     """Fingerprints, with the draws of weighted terms kept from text to text."""
 
-    def __init__(self):
-        self.row: dict[tuple[bytes, int], int] = {}
-        self.number = np.empty((KEPT, SAMPLES), dtype=np.float32)
-        self.name = np.empty((KEPT, SAMPLES), dtype=np.uint8)
-
-    def _draw(self, new: list[tuple[bytes, int]]) -> None:
-        end = len(self.row) + len(new)
-        if end > len(self.number):
-            more = max(end, 2 * len(self.number)) - len(self.number)
-            self.number = np.concatenate([self.number, np.empty((more, SAMPLES), dtype=np.float32)])
-            self.name = np.concatenate([self.name, np.empty((more, SAMPLES), dtype=np.uint8)])
-        for at in range(0, len(new), 256):  # what is worked on stays in the cache
-            some = new[at : at + 256]
+    def __init__(self, kept: int = KEPT):
+        self.kept, self.rows, self.drawn = kept, Rows([]), 0
+        self.table = np.empty((kept, SAMPLES), dtype=np.int32)
+
+    def _draw(self) -> None:
+        """The rows given out since the last time."""
+        names = self.rows.names
+        if len(names) > len(self.table):
+            self.table = np.concatenate([self.table[: self.drawn], np.empty((len(names) - self.drawn, SAMPLES), dtype=np.int32)])
+        for at in range(self.drawn, len(names), 256):  # what is worked on stays in the cache
+            some = [(n, 1) if isinstance(n, bytes) else n for n in names[at : at + 256]]
             seed = np.array([xxhash.xxh3_64_intdigest(w) for w, _ in some], dtype=np.uint64)
-            base = len(self.row)
-            rows = slice(base, base + len(some))
-            self.number[rows], self.name[rows] = draws(seed, np.array([n for _, n in some], dtype=np.float64))
-            self.row.update(zip(some, range(base, base + len(some)), strict=True))
+            self.table[at : at + len(some)] = draws(seed, np.array([n for _, n in some], dtype=np.float64))
+        self.drawn = len(names)
+
+    def _forget(self, used: list[np.ndarray]) -> None:
+        """Keeps only the draws that the last texts used."""
+        stay = np.unique(np.concatenate(used))
+        table = np.empty((max(self.kept, len(stay)), SAMPLES), dtype=np.int32)
+        table[: len(stay)] = self.table[stay]
+        self.table, self.drawn = table, len(stay)
+        self.rows = Rows([self.rows.names[i] for i in stay.tolist()])
 
     def fingerprints(self, texts: list[bytes]) -> np.ndarray:
         """A row of SAMPLES bytes for each text; a text without terms has zeros."""
-        bags = [terms(t).items() for t in texts]
-        new = {t for b in bags for t in b if t not in self.row}
-        if len(self.row) + len(new) > KEPT:
-            self.row.clear()
-            new = {t for b in bags for t in b}
-        self._draw(sorted(new))
+        row = self.rows
+        used = [np.array([row[w] if n == 1 else row[w, n] for w, n in terms(t).items()], dtype=np.int64) for t in texts]
+        self._draw()
         out = np.zeros((len(texts), SAMPLES), dtype=np.uint8)
-        every, get = np.arange(SAMPLES), self.row.__getitem__
-        for k, b in enumerate(bags):
-            if b:
-                rows = np.fromiter(map(get, b), dtype=np.int64, count=len(b))
-                out[k] = self.name[rows[self.number[rows].argmin(axis=0)], every]
+        for k, rows in enumerate(used):
+            if len(rows):
+                least = self.table[rows[:GATHERED]].min(axis=0)
+                for at in range(GATHERED, len(rows), GATHERED):
+                    np.minimum(least, self.table[rows[at : at + GATHERED]].min(axis=0), out=least)
+                out[k] = (least & np.int32(255)).astype(np.uint8)
+        if self.drawn > self.kept:
+            self._forget(used)
         return out
 
 
+#: Terms of a text whose draws are compared at once.
+GATHERED = 512
+
+_samplers: list[Sampler] = []
+
+
+def sampler() -> Sampler:
+    """This process's sampler: what it keeps serves all its tasks."""
+    if not _samplers:
+        _samplers.append(Sampler())
+    return _samplers[0]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated generalised Jaccard similarity of fingerprints, row by row: the share of equal bytes, less chance."""
     return np.clip(((a == b).mean(axis=1) - CHANCE) / (1 - CHANCE), 0.0, 1.0)
@@ -130,26 +178,33 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), without any shuffle. Null texts are empty; empty texts have zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
         for batch in slices(batches, "text", CHUNK_BYTES):
-            prints = sampler.fingerprints([(t or "").encode() for t in batch.column("text").to_pylist()])
+            prints = sampler().fingerprints([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.record_batch([batch.column("doc_id"), pa.array([p.tobytes().hex() for p in prints], pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def range_numbers(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The range of each (doc_id, hash of its text), ascending in both; a doc_id that is n bounds has its rows dealt to n + 1 ranges."""
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    part = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    return (low + np.minimum(np.floor(part * (high - low + 1)), high - low)).astype(np.int32)
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows in ranges of doc_id; the first row of a range also ends the one before, marked ``ahead``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))  # nulls first
+    bounds = np.array(docs.select(place.alias("place")).approxQuantile("place", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)))
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(-np.inf).to_numpy(dtype=float), side="right").astype(np.int32))
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_numbers(bounds, ids.to_numpy(), hashes.to_numpy()))
 
-    rows = rows.withColumn("range", range_of(F.col("doc_id").cast("double")))
+    rows = rows.withColumn("range", range_of(place, "row"))
     first = rows.groupBy("range").agg(F.min(F.struct("doc_id", "row")).alias("h")).select("range", "h.doc_id", "h.row").collect()
     heads = sorted(map(tuple, first))  # a row for each range
     also = [(d, r, heads[i - 1][0]) for i, (_, d, r) in enumerate(heads)]  # the very first follows the very last
@@ -159,7 +214,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     other = F.struct(F.col("also").alias("range"), F.lit(1).alias("ahead"))
     to = F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("to")
     out = marked.select("doc_id", "row", "text", to).select("doc_id", "row", "text", "to.range", "to.ahead")
-    return out.repartition("range").sortWithinPartitions("range", "ahead", "doc_id", "row")
+    return out.repartitionById(ranges, "range").sortWithinPartitions("range", "ahead", "doc_id", "row")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -168,11 +223,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document by ascending doc_id (nulls first; rows with equal doc_ids by a hash of their texts); the first follows the
     last. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts
-    are empty; a single row is its own next; an empty table gives no rows.
+    are empty; a single row is its own next; rows that repeat get a row each and follow one another; an empty table gives
+    no rows; other columns aren't read. Words of over WORD_BYTES bytes are several terms, of which none is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
         held: list[tuple[int | None, str, int, int]] = []  # doc_id, text, range, ahead
         size = 0
 
@@ -181,7 +236,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             pairs = [k for k in range(len(held) - 1) if held[k][2] == held[k + 1][2] and not held[k][3]]
             cut = [len(texts[k]) // 4 for k in pairs]
             edited = [(texts[k][: len(texts[k]) - q] + texts[k + 1][:q]).encode() for k, q in zip(pairs, cut, strict=True)]
-            prints = sampler.fingerprints([t.encode() for t in texts] + edited)
+            prints = sampler().fingerprints([t.encode() for t in texts] + edited)
             own, after, new = prints[pairs], prints[[k + 1 for k in pairs]], prints[len(texts) :]
             values = [
                 pa.array([held[k][0] for k in pairs], pa.int64()),
