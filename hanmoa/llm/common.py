@@ -10,6 +10,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import get_ident
 
 import numpy as np
 import pyarrow as pa
@@ -20,43 +22,74 @@ from pyspark.sql import functions as F
 #: The most bytes that a broadcast side may have, by a count made beforehand.
 BROADCAST_BYTES = 48 << 20
 
-_made: dict[str, list[str]] = {}
-_scopes: list[str] = []
+#: Scratch paths and catalog tables by thread and owner, so that two pipelines of one driver don't drop each other's.
+_made: dict[tuple[int, str], list[tuple[str, str]]] = {}
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a folder made here."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset in local mode, as in tests, a folder made here."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = _made.setdefault("local folder", [tempfile.mkdtemp(prefix="hanmoa-")])[0]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="hanmoa-"))
+        where = _local[0]
     return where.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _note(owner: str, kind: str, name: str) -> None:
+    owner = _scopes.get()[-1] if _scopes.get() else owner
+    _made.setdefault((get_ident(), owner), []).append((kind, name))
+
+
 def scratch(spark: SparkSession, owner: str) -> str:
-    """A new path below the shared folder, to be dropped by ``drop_scratch(spark, owner)``; within a scope it is the scope's."""
-    owner = _scopes[-1] if _scopes else owner
+    """A new path below the shared folder, dropped by ``drop_scratch(spark, owner)`` or when the JVM ends; within a scope it is the scope's."""
     path = f"{shared_dir(spark)}/hanmoa/{owner}/{uuid.uuid4().hex}"
-    _made.setdefault(owner, []).append(path)
+    _note(owner, "path", path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
+def scratch_table(spark: SparkSession, owner: str) -> tuple[str, str]:
+    """The name of a new table of the catalog and its path, both dropped as scratch tables are."""
+    name = f"hanmoa_{owner}_{uuid.uuid4().hex}"
+    path = scratch(spark, owner)
+    _note(owner, "table", name)
+    return name, path
+
+
 def drop_scratch(spark: SparkSession, owner: str) -> None:
-    """Deletes an owner's scratch tables, by the file system that they are on."""
-    jvm = spark.sparkContext._jvm
-    for path in _made.pop(owner, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Drops what an owner has made in this thread; results that read it must have been written before."""
+    for kind, name in reversed(_made.pop((get_ident(), owner), [])):
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            drop_path(spark, name)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 @contextmanager
 def scope(spark: SparkSession, owner: str) -> Iterator[None]:
     """Drops what the owner had, and lays to it all scratch tables made within."""
     drop_scratch(spark, owner)
-    _scopes.append(owner)
+    token = _scopes.set((*_scopes.get(), owner))
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
 
 
 def stored(df: DataFrame, owner: str, codec: str = "zstd") -> DataFrame:

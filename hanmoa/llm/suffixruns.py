@@ -19,7 +19,6 @@ the anchor to the right, then the text from it to the left, then how many window
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -53,6 +52,13 @@ def _words_at(text: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    x = a * _U(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9) + c
+    x = (x ^ (x >> _U(32))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(29))
+
+
 def anchors(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each anchor: its place, the first and last window that it stands for, the hash of its gram.
 
@@ -66,10 +72,7 @@ def anchors(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         part = padded[at : at + grams + 48]
         h = _words_at(part, grams + 16)
         last = h[16 : grams + 16] & _U(0xFFFFFFFF)
-        x = h[:grams] * _U(0x9E3779B97F4A7C15) + h[8 : grams + 8]
-        x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9) + last
-        x = (x ^ (x >> _U(32))) * _U(0x94D049BB133111EB)
-        x ^= x >> _U(29)
+        x = _mixed(h[:grams], h[8 : grams + 8], last)
         low = (x & ~_U((1 << 21) - 1)) | np.arange(grams, dtype=np.uint64)  # equal hashes: the leftmost
         width = 1
         while 2 * width <= SPAN + 1:
@@ -106,8 +109,22 @@ def keys_of(text: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
+def gram_hashes(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hashes of the grams at these places, as ``anchors`` gives them."""
+    padded = np.concatenate([text, np.zeros(32, dtype=np.uint8)])
+    words = np.ndarray((len(text) + 24,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from every place
+    return _mixed(words[place], words[place + 8], words[place + 16] & _U(0xFFFFFFFF))
+
+
+def pack_anchors(place: np.ndarray, first: np.ndarray) -> dict[str, bytes]:
+    """Places as gaps of a byte each, wider ones apart, and how far before its place each one's first window begins."""
+    gaps = np.diff(place, prepend=0)
+    wide = gaps >= 255
+    return {"gaps": np.where(wide, 255, gaps).astype(np.uint8).tobytes(), "wide": gaps[wide].astype(np.int64).tobytes(), "before": (place - first).astype(np.uint8).tobytes()}
+
+
 class Run:
-    """A run's row of the table: its documents, end to end."""
+    """A run's row of the table: its documents, end to end, and their anchors."""
 
     def __init__(self, row: dict):
         self.row = row
@@ -115,12 +132,18 @@ class Run:
         self.known = np.frombuffer(row["known"], dtype=bool)
         self.starts = np.frombuffer(row["starts"], dtype=np.int64)
         self.text = np.frombuffer(row["text"], dtype=np.uint8)
-        self.place, self.first, self.last, self.hash = anchors(self.text, self.starts)
-        self.document = np.searchsorted(self.starts, self.place, side="right") - 1
-        own = self.known[self.document]  # a document without id neither loses nor explains anything
-        self.place, self.first, self.last, self.hash, self.document = (
-            v[own] for v in (self.place, self.first, self.last, self.hash, self.document)
-        )
+        gaps = np.frombuffer(row["gaps"], dtype=np.uint8).astype(np.int64)
+        gaps[gaps == 255] = np.frombuffer(row["wide"], dtype=np.int64)
+        self.place = np.cumsum(gaps)
+        self.first = self.place - np.frombuffer(row["before"], dtype=np.uint8)
+        number = np.diff(np.searchsorted(self.place, self.starts))
+        self.document = np.repeat(np.arange(len(number)), number)
+        # an anchor's windows end where the next one's begin, and in a document's last window at most
+        self.last = np.minimum(np.append(self.first[1:], len(self.text)) - 1, self.starts[self.document + 1] - MATCH)
+        if not self.known.all():
+            own = self.known[self.document]  # a document without id neither loses nor explains anything
+            self.place, self.first, self.last, self.document = (v[own] for v in (self.place, self.first, self.last, self.document))
+        self.hash = gram_hashes(self.text, self.place)
 
     def sieve(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each anchor, the bucket of its hash and 32 other bits of it."""
@@ -276,11 +299,14 @@ def _answer(group: list[tuple[int, int, int, int]], masks: list[np.ndarray]) ->
         masks[r][i] = mask
 
 
-def _pack(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
+#: What a run consists of.
+STORED = ["run", "doc_ids", "known", "starts", "text", "gaps", "wide", "before"]
+
+
+def _pack(docs: DataFrame, carry: str | None) -> tuple[DataFrame, int, int]:
     """The table of runs, bucketed by run; how many buckets and runs it has."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
@@ -292,7 +318,7 @@ def _pack(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
             starts = np.zeros(len(texts) + 1, dtype=np.int64)
             np.cumsum([len(t) for t in texts], out=starts[1:])
             text = b"".join(texts)
-            place, _, _, hashed = anchors(np.frombuffer(text, dtype=np.uint8), starts)
+            place, first, _, hashed = anchors(np.frombuffer(text, dtype=np.uint8), starts)
             some = place[np.argsort(hashed, kind="stable")[:: max(1, len(place) // SAMPLES)]].tolist()
             values = {
                 "run": pa.array([base + number], type=pa.int64()),
@@ -300,11 +326,12 @@ def _pack(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
                 "known": pa.array([ids.is_valid().to_numpy(zero_copy_only=False).tobytes()], type=pa.binary()),
                 "starts": pa.array([starts.tobytes()], type=pa.binary()),
                 "text": pa.array([text], type=pa.binary()),
+                **{c: pa.array([v], type=pa.binary()) for c, v in pack_anchors(place, first).items()},
                 "sample": pa.array([[text[p : p + GRAM] for p in some]], type=pa.list_(pa.binary())),
             }
-            for c in carry:
-                v = table.column(c).combine_chunks()
-                values[f"carry_{c}"] = pa.ListArray.from_arrays(pa.array([0, len(v)], type=pa.int32()), v)
+            if carry:
+                v = table.column("carried").combine_chunks()
+                values["carried"] = pa.ListArray.from_arrays(pa.array([0, len(v)], type=pa.int32()), v)
             return pa.record_batch(list(values.values()), names=list(values))
 
         for batch in batches:
@@ -318,11 +345,12 @@ def _pack(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, int, int]:
         if held:
             yield row()
 
-    schema = "run long, doc_ids binary, known binary, starts binary, text binary, sample array<binary>"
-    schema += "".join(f", `carry_{c}` array<{kinds[c]}>" for c in carry)
-    name = f"hanmoa_runs_{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *carry).mapInArrow(pack, schema)
-    rows.write.bucketBy(buckets, "run").option("path", common.scratch(spark, OWNER)).option("compression", "zstd").saveAsTable(name)
+    schema = ", ".join(f"{c} {'long' if c == 'run' else 'binary'}" for c in STORED) + ", sample array<binary>"
+    if carry:
+        schema += f", carried array<{docs.schema[carry].dataType.simpleString()}>"
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias("carried") for c in [carry] if c]).mapInArrow(pack, schema)
+    name, path = common.scratch_table(spark, OWNER)
+    rows.write.bucketBy(buckets, "run").option("path", path).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     return table, buckets, table.count()
 
@@ -369,7 +397,7 @@ def _sieved(runs: DataFrame, buckets: int) -> DataFrame:
                 names=["run", "kind", "part", "data"],
             )
 
-    sent = runs.select("run", "doc_ids", "known", "starts", "text").mapInArrow(send, PIECES)
+    sent = runs.select(STORED).mapInArrow(send, PIECES)
     return stored(by_group(sent, ["part"], meet, PIECES), OWNER)
 
 
@@ -403,7 +431,7 @@ def _sorted_runs(runs: DataFrame, sieved: DataFrame, buckets: int, ranges: list[
             [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["run", "part", "shared", "rests", "least"]
         )
 
-    text = runs.select("run", "doc_ids", "known", "starts", "text")
+    text = runs.select(STORED)
     return text.groupBy("run").cogroup(sieved.groupBy("run")).applyInArrow(
         sort, "run long, part int, shared binary, rests binary, least binary"
     )
@@ -455,26 +483,24 @@ def removed_spans(run: Run, buckets: int, ranges: list[bytes], pieces: dict[int,
     return np.cumsum(cover[:-1]) > 0
 
 
-def repeated_passages(docs: DataFrame, carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, carry: str | None = None, keep_text: bool = False) -> DataFrame:
     """Removes from each text every byte that a 50-byte string covers which also starts in a smaller doc_id.
 
     Returns per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep_text`` also kept (string: what is
-    left, less the bytes of a character that lost some of its bytes), and the columns of ``carry``. Null texts
-    are empty. Rows with a null doc_id lose nothing and explain nothing; rows with equal doc_ids don't explain
-    each other. An empty table gives no rows.
+    left, less the bytes of a character that lost some of its bytes), and the column ``carry`` (a struct carries several,
+    whatever their names). Null texts are empty. Rows with a null doc_id lose nothing and explain nothing; rows with
+    equal doc_ids, exact repeats among them, don't explain each other. Other columns aren't read; an empty table gives no rows.
     """
-    carry = carry or []
     runs, buckets, n_runs = _pack(docs, carry)
     ranges = _ranges(runs, n_runs, 4 * buckets)
     sieved = _sieved(runs, buckets)
     answers = _merged(_sorted_runs(runs, sieved, buckets, ranges))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = _pieces(right)
         out = []
         for k in range(left.num_rows):
-            row = left.drop_columns([c for c in left.column_names if c.startswith("carry_")]).slice(k, 1).to_pylist()[0]
+            row = left.select(STORED).slice(k, 1).to_pylist()[0]
             run = Run(row)
             gone = removed_spans(run, buckets, ranges, pieces)
             edge = np.diff(gone.astype(np.int8), prepend=0) > 0
@@ -492,13 +518,15 @@ def repeated_passages(docs: DataFrame, carry: list[str] | None = None, keep_text
             }
             if keep_text:
                 values["kept"] = pa.array([t.decode("utf-8", "ignore") for t in kept], type=pa.string())
-            for c in carry:
-                values[c] = left.column(f"carry_{c}").combine_chunks()[k].values
+            if carry:
+                values[carry] = left.column("carried").combine_chunks()[k].values
             out.append(pa.table(values))
         return pa.concat_tables(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept string" * keep_text + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema += ", kept string" * keep_text
+    if carry:
+        schema += f", {carry} {docs.schema[carry].dataType.simpleString()}"
     pieces = sieved.unionAll(answers)
     whole = runs.drop("sample")
     return whole.groupBy("run").cogroup(pieces.groupBy("run")).applyInArrow(cut, schema)
