@@ -92,9 +92,37 @@ def scope(spark: SparkSession, owner: str) -> Iterator[None]:
         _scopes.reset(token)
 
 
-def stored(df: DataFrame, owner: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` as a scratch table and reads it back: lineage ends here, and nothing is worked out twice."""
+#: Bytes of files that a task should read at least, and rows of a few hundred bytes that a scratch file should have.
+TASK_BYTES, FILE_ROWS = 8 << 20, 50_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its estimated size has TASK_BYTES: many small files are read several to a task."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(max(1, -(-size // TASK_BYTES))) if size < 1 << 40 else df
+
+
+#: Bytes of rows that go to a Python worker at once, about; a longer row goes alone.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python workers by bytes, not only by rows: 10,000 long texts would not fit a worker."""
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stored(df: DataFrame, owner: str, codec: str = "zstd", rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Writes ``df`` as a scratch table and reads it back: lineage ends here, and nothing is worked out twice.
+
+    rows, if it is known how many there are at most, keeps a small table from being strewn over as many files as a shuffle has partitions.
+    """
     spark = df.sparkSession
+    if rows is not None and (files := max(1, -(-rows // file_rows))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     path = scratch(spark, owner)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

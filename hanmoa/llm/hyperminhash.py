@@ -10,9 +10,10 @@
 5. Verify: within a family, similarities are counted on the full sets.
 
 Buckets and families are walked breadth first: a text is compared only with those not reached yet, so that a
-tight group of any size takes about one comparison a text, and only a forest of links is put out. A group
-of more than TILE_ROWS texts or TILE_SHINGLES shingles is cut into blocks, and each pair of blocks is a task of
-its own: no link is lost and no task holds an unbounded group.
+tight group of any size takes about one comparison a text, and only a forest of links is put out. A group of more than
+TILE_ROWS texts or TILE_SHINGLES shingles is cut into blocks. Each block is walked by itself; the roots of all its trees
+meet, in pairs of blocks; and then every text that isn't in the group's largest part is compared with the whole group,
+block by block. So a tight group goes out once, no link is lost and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanmoa.llm.common import as_bytes, by_group, join_small, slices, space_words, stored
+from hanmoa.llm.common import FILE_ROWS, as_bytes, by_group, join_small, packed, slices, space_words, stored
 from hanmoa.llm.components import components
 
 OWNER = "hyperminhash"
 REGISTERS, MANTISSA, BANDS, ROWS = 128, 10, 24, 4
-TILE_ROWS, TILE_SHINGLES = 2048, 1 << 19
+TILE_ROWS, TILE_SHINGLES = 512, 1 << 18
 #: An estimate is trusted to be within so many standard deviations of the similarity.
 SURE = 6.0
 #: The chance that registers of two different least values are equal: sum over z of 4^-(z+1), times 2^-MANTISSA.
@@ -142,22 +143,26 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "row", "n_shingles", "set_hash", "registers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(
+    return packed(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")).mapInArrow(
         sign, "doc_id long, row long, n_shingles long, set_hash binary, registers binary"
     )
 
 
-def _tiles(rows: DataFrame, key: str) -> DataFrame:
-    """Adds tile (i, j): rows of a large group are cut into blocks, and each goes to every pair that has its block."""
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of groups of two or more, with the number of blocks of their group and their own block i."""
     group = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES))
-    group = group.select(key, blocks.cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
+    return rows.join(group.select(key, blocks.cast("int").alias("blocks")), key).withColumn("i", own)
+
+
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """Each row once for every pair (i, j) of blocks that has its own."""
     pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("i")).alias("i"), F.greatest(x, F.col("i")).alias("j"))
     )
-    out = rows.join(group, key).withColumn("own", own)
-    return out.withColumn("tile", F.explode(pair)).select(*rows.columns, F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+    rest = [c for c in blocks.columns if c not in ("i", "blocks")]
+    return blocks.withColumn("pair", F.explode(pair)).select(*rest, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
 
 def _lowest(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,56 +182,128 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
 
+#: near(i, rest) of one group's rows: which of ``rest`` are linked to row i.
+Near = Callable[[int, np.ndarray], np.ndarray]
+TREES = "blocks int, i int, doc_id long, row long, n_shingles long, root long"
+
+
+def grouped_links(
+    rows: DataFrame, key: str, add: Callable[[DataFrame, int | None], DataFrame], of: Callable[[pa.Table], Near], few: Callable | None = None, file_rows: int = FILE_ROWS
+) -> DataFrame:
+    """(id, component) by the links within groups of ``key``; rows have key, doc_id, row and n_shingles.
+
+    add(rows, how many at most) joins what texts are compared by; of makes ``near`` of a group's rows; few, if there is one, links all pairs of
+    groups of two at once.
+    """
+
+    def trees(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of each row of a cut group its root, of others only those that aren't roots."""
+        ids, cut = table.column("doc_id").to_numpy(), table.column("blocks").to_numpy() > 1
+        root = ids.copy()
+        length = np.diff(starts, append=len(ids))
+        left = length > (2 if few else 1)
+        if few:
+            pair = starts[length == 2]
+            pair = pair[few(table, pair)]
+            root[pair + 1] = ids[pair]
+        for at, n in zip(starts[left].tolist(), length[left].tolist(), strict=True):
+            root[at : at + n] = ids[at + forest(n, of(table.slice(at, n)))]
+        out = table.select([key, "blocks", "i", "doc_id", "row", "n_shingles"]).append_column("root", pa.array(root))
+        yield from out.filter(pa.array(cut | (root != ids))).to_batches()
+
+    def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = table.column("doc_id").to_numpy()
+        for at, n in zip(starts.tolist(), np.diff(starts, append=len(ids)).tolist(), strict=True):
+            label = forest(n, of(table.slice(at, n)))
+            yield _links(ids[at : at + n], ids[at + label])
+
+    def strays(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, part, stray = (table.column(c).to_numpy() for c in ("doc_id", "part", "stray"))
+        for at, n in zip(starts.tolist(), np.diff(starts, append=len(ids)).tolist(), strict=True):
+            near, own = of(table.slice(at, n)), part[at : at + n]
+            home = np.flatnonzero(stray[at : at + n] == 0)
+            for k in np.flatnonzero(stray[at : at + n]).tolist():
+                rest = home[own[home] != own[k]]
+                hit = rest[near(k, rest)] if len(rest) else rest
+                hit = hit[np.unique(own[hit], return_index=True)[1]]  # one link to each part
+                yield _links(np.full(len(hit), ids[at + k]), ids[at + hit])
+
+    every = rows.count()
+    found = stored(by_group(add(_blocks(rows, key), every), [key, "i"], trees, f"{key} long, {TREES}"), OWNER, rows=every, file_rows=file_rows)
+    out = found.where("doc_id != root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    cut = found.where("blocks > 1")
+    number, most = cut.count(), found.count()
+    if not number:
+        return components(out, OWNER, most)
+    roots = cut.where("doc_id = root").select(key, "doc_id", "row", "n_shingles")
+    tips = roots.count()
+    tips *= tips // TILE_ROWS + 1  # about as many rows have the pairs of blocks
+    between = stored(by_group(add(_pairs(_blocks(roots, key)), tips), [key, "i", "j"], links, "a long, b long"), OWNER, rows=tips, file_rows=file_rows)
+    out, most = out.unionAll(between), most + between.count()
+    inner = cut.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionAll(between)
+    part = components(inner, OWNER, most).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
+    labelled = cut.drop("root").join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    each = labelled.groupBy(key, "part").count()
+    largest = each.groupBy(key).agg(F.max_by("part", F.struct("count", "part")).alias("largest"))
+    labelled = stored(labelled.join(largest, key).withColumn("stray", (F.col("part") != F.col("largest")).cast("int")).drop("largest"), OWNER, rows=number)
+    lost = labelled.where("stray = 1")
+    tiles = lost.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
+    sent = lost.join(tiles, key).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("tiles")).cast("int"))
+    home = labelled.withColumn("stray", F.lit(0)).join(tiles, key).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    sizes = lost.groupBy(key).count().join(labelled.groupBy(key).agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("rows")), key)
+    sizes = sizes.agg(F.sum(F.col("count") * F.col("blocks") + F.ceil(F.col("count") / TILE_ROWS) * F.col("rows"))).first()[0] or 0
+    met = add(sent.unionByName(home).drop("tiles", "blocks"), int(sizes))
+    met = stored(by_group(met, [key, "i", "j"], strays, "a long, b long"), OWNER, rows=int(sizes), file_rows=file_rows)
+    return components(out.unionAll(met), OWNER, most + met.count())
+
+
+def _registers(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(table.num_rows, REGISTERS)
+
+
 def families(texts: DataFrame, percent: int) -> DataFrame:
     """(id, component) over texts that may be near by their registers."""
     band = [F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)]
-    keys = stored(texts.select("doc_id", "row", "n_shingles", F.explode(F.array(*band)).alias("band")), OWNER)
-    tiles = _tiles(keys, "band").join(texts.select("doc_id", "row", "registers"), ["doc_id", "row"])
+    keys = stored(texts.select("doc_id", "row", "n_shingles", F.explode(F.array(*band)).alias("band")), OWNER)  # from each file of texts one
+    own = texts.select("doc_id", "row", "registers")
 
-    def walk(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, size = table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy()
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(len(ids), REGISTERS)
-        length = np.diff(starts, append=len(ids))
-        pair = starts[length == 2]
-        pair = pair[_maybe(regs, size, percent, pair, pair + 1)]
-        yield _links(ids[pair], ids[pair + 1])
-        for at, n in zip(starts[length > 2].tolist(), length[length > 2].tolist(), strict=True):
-            label = at + forest(n, lambda i, rest, at=at: _maybe(regs, size, percent, at + i, at + rest))
-            kept = np.flatnonzero(label != np.arange(at, at + n))
-            yield _links(ids[at + kept], ids[label[kept]])
+    def of(group: pa.Table) -> Near:
+        regs, size = _registers(group), group.column("n_shingles").to_numpy()
+        return lambda i, rest: _maybe(regs, size, percent, i, rest)
+
+    def few(table: pa.Table, first: np.ndarray) -> np.ndarray:
+        return _maybe(_registers(table), table.column("n_shingles").to_numpy(), percent, first, first + 1)
 
-    return components(by_group(tiles, ["band", "i", "j"], walk, "a long, b long"), OWNER)
+    return grouped_links(keys, "band", lambda rows, _: rows.join(own, ["doc_id", "row"]), of, few)
 
 
 def verified(docs: DataFrame, texts: DataFrame, family: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component) over texts whose full sets have 100 |A and B| >= percent |A or B|."""
     ids = family.select("id", "component").unionAll(family.select("component", "component")).distinct()
-    held = texts.join(ids.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    tiles = stored(_tiles(stored(held.select("doc_id", "row", "n_shingles", "family"), OWNER), "family"), OWNER)
+    held = texts.select("doc_id", "row", "n_shingles").join(ids.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    held = stored(held, OWNER, rows=2 * family.count())  # of each component also the one it is named after
     need = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
-    full = join_small(need, tiles.drop("n_shingles"), ["doc_id", "row"], "inner", 40)
 
-    def walk(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at, n in zip(starts.tolist(), np.diff(starts, append=table.num_rows).tolist(), strict=True):
-            group = table.slice(at, n).combine_chunks()
-            ids = group.column("doc_id").to_numpy()
-            sets = shingle_sets(as_bytes(group, "text"), words)
-            regs, size = registers(sets), np.array([len(s) for s in sets])
+    def of(group: pa.Table) -> Near:
+        sets = shingle_sets(as_bytes(group, "text"), words)
+        regs, size = registers(sets), np.array([len(s) for s in sets])
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            hit = _maybe(regs, size, percent, i, rest)
+            for k in np.flatnonzero(hit):
+                a, b = sets[i], sets[rest[k]]
+                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                both = int((a[at] == b).sum())
+                hit[k] = 100 * both >= percent * (len(a) + len(b) - both)
+            return hit
 
-            def near(i: int, rest: np.ndarray, sets=sets, regs=regs, size=size) -> np.ndarray:
-                hit = _maybe(regs, size, percent, i, rest)
-                for k in np.flatnonzero(hit):
-                    a, b = sets[i], sets[rest[k]]
-                    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                    both = int((a[at] == b).sum())
-                    hit[k] = 100 * both >= percent * (len(a) + len(b) - both)
-                return hit
+        return near
 
-            label = forest(n, near)
-            kept = np.flatnonzero(label != np.arange(n))
-            yield _links(ids[kept], ids[label[kept]])
+    def with_text(rows: DataFrame, most: int | None) -> DataFrame:
+        return join_small(need, stored(rows, OWNER, rows=most), ["doc_id", "row"], "inner", 64)
 
-    return components(by_group(full, ["family", "i", "j"], walk, "a long, b long"), OWNER)
+    return grouped_links(held, "family", with_text, of, file_rows=4096)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -244,6 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             F.min(F.struct("doc_id", "row")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
         ).select("set_hash", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), "n_shingles", "registers"),
         OWNER,
+        rows=signed.count(),
     )
     linked = verified(docs, texts, families(texts, percent), words, percent)
     first = texts.select("set_hash", F.col("doc_id").alias("first"))

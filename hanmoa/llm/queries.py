@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hanmoa.llm.common import bound_batches
 from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, templates, tokenfile, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
