@@ -3,7 +3,8 @@
 A segment is a byte string of its own: a header (MAGIC, documents, ids, bytes an id, low bits, bytes of each
 part), the boundaries and the ids. Of each document's end the low bits stand packed and the high ones in unary, so a
 boundary costs about 2 + log2(ids / documents) bits; the place of every 256th one bit makes select quick. Segments
-are rows of a Parquet table in ascending doc_id order, which Spark can put into any store.
+are rows of a Parquet table in ascending doc_id order, which Spark can put into any store; their ascending doc_ids, less
+the first, are a second such sequence.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from hanmoa.llm.tokens import encoder
 
 MAGIC = b"HMEF1\0\0\0"
 HEADER = struct.Struct("<8sQQBB2xIII")
+PARTS = struct.Struct("<QBIII")
 SEGMENT_IDS = 1 << 22
+#: The widest range of doc_ids in a segment.
+SEGMENT_SPAN = 1 << 60
 SELECT_EVERY = 256
 
 
@@ -76,6 +80,16 @@ class EliasFano:
         return value
 
 
+    def dump(self) -> bytes:
+        return b"".join([PARTS.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)), self.low, self.high, self.samples])
+
+    @classmethod
+    def load(cls, data: bytes) -> "EliasFano":
+        n, bits, *sizes = PARTS.unpack_from(data)
+        ends = np.cumsum([PARTS.size, *sizes]).tolist()
+        return cls(n, bits, *(data[a:b] for a, b in zip(ends, ends[1:], strict=False)))
+
+
 def write_segment(texts: list[bytes], width: int) -> bytes:
     """A segment of documents given as byte strings of ids of ``width`` bytes."""
     ends = np.cumsum([len(t) // width for t in texts])
@@ -105,13 +119,15 @@ class Segment:
         return self.all_ids[self.boundaries.select(i - 1) if i else 0 : self.boundaries.select(i)]
 
 
-SEGMENTS = "part int, number int, n_ids long, doc_ids binary, known binary, data binary"
+NAMES = ["part", "number", "n_ids", "nulls", "first_id", "doc_ids", "data"]
+SEGMENTS = "part int, number int, n_ids long, nulls int, first_id long, doc_ids binary, data binary"
 
 
 def write_token_file(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Writes every text's ids and ``end_id`` in ascending doc_id order (nulls first); returns the table of segments.
 
-    Null texts are empty. Rows that repeat a doc_id stand together, ordered by a hash of their texts.
+    Null texts are empty. Rows that repeat a doc_id stand together, ordered by a hash of their texts. An empty table gives
+    no segments; other columns aren't read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +136,19 @@ def write_token_file(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         end = np.array([end_id], dtype=e.kind).tobytes()
 
         def row() -> pa.RecordBatch:
-            values = [part], [number], [held], [np.array([i or 0 for i in ids], dtype=np.int64).tobytes()], [
-                np.array([i is not None for i in ids]).tobytes()
-            ], [write_segment(texts, e.width)]
-            kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
-            return pa.record_batch([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["part", "number", "n_ids", "doc_ids", "known", "data"])
+            known = [i for i in ids if i is not None]  # nulls come first
+            first = known[0] if known else 0
+            places = EliasFano.encode(np.array(known, dtype=np.int64) - first).dump()
+            values = [part], [number], [held], [len(ids) - len(known)], [first], [places], [write_segment(texts, e.width)]
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()
+            return pa.record_batch([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=NAMES)
 
         for batch in slices(batches, "text", 4 << 20):
             coded = e.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, c in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 n = len(c) // e.width + 1
-                if held and held + n > SEGMENT_IDS:
+                first = next((i for i in ids if i is not None), doc_id) if doc_id is not None else None
+                if held and (held + n > SEGMENT_IDS or first is not None and doc_id - first > SEGMENT_SPAN):
                     yield row()
                     number, ids, texts, held = number + 1, [], [], 0
                 ids.append(doc_id)
@@ -168,8 +186,9 @@ def read_token_file(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 wide = segment.all_ids.astype("<u4")
                 docs = [wide[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                ids = np.concatenate([np.zeros(row["nulls"], dtype=np.int64), EliasFano.load(row["doc_ids"]).values() + row["first_id"]])
                 values = [
-                    pa.array(np.frombuffer(row["doc_ids"], dtype=np.int64), mask=~np.frombuffer(row["known"], dtype=bool)),
+                    pa.array(ids, mask=np.arange(len(ids)) < row["nulls"]),
                     pa.array(starts + row["base"]),
                     pa.array(ends - starts),
                     pa.array([zlib.crc32(d.tobytes()) for d in docs], type=pa.int64()),
@@ -179,4 +198,4 @@ def read_token_file(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.record_batch(values, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(values)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return placed.select("doc_ids", "known", "data", "base").mapInArrow(read, schema)
+    return placed.select("nulls", "first_id", "doc_ids", "data", "base").mapInArrow(read, schema)

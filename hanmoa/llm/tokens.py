@@ -2,7 +2,8 @@
 
 The byte-level and word vocabularies split a text into words before they merge anything. No word has white space
 after its first other character, and a run of letters ends before ASCII punctuation, so cutting there and
-encoding each piece by itself gives the ids of the whole text. Texts with other white space are encoded whole.
+encoding each piece by itself gives the ids of the whole text. Texts with other white space, or with the name of an added
+token (which the library gives its own id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ KEPT = 800_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECE = re.compile(rf"[ \n\t\r]*[{_LETTER}]+(?=[!-/:-@\[-`{{-~])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space beyond blank, line feed, tab and carriage return, by any of the libraries.
-_OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
+_OTHER_SPACE = "[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]"
 
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 
@@ -59,7 +60,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        #: What of a text can't be cut into pieces: the names of added tokens, which the library finds before it splits.
+        self.uncut = re.compile("|".join([_OTHER_SPACE, *names]))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.merges = self.library.model.tokenize
@@ -90,7 +93,7 @@ class Encoder:
         if len(self.pieces) > KEPT:
             self.pieces.clear()
         get = self.pieces.__getitem__
-        return [self._whole(t) if _OTHER_SPACE.search(t) else b"".join(map(get, _PIECE.findall(t))) for t in texts]
+        return [self._whole(t) if self.uncut.search(t) else b"".join(map(get, _PIECE.findall(t))) for t in texts]
 
 
 _loaded: dict[str, Encoder] = {}
