@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,13 +46,14 @@ QUALIFIERS = {"site", "page", "main", "global", "left", "right", "top", "bottom"
 OF_ARTICLE = {"entry", "post", "article"}
 COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)|(?P<other>!--|!\[CDATA\[|[!?/]))")
+#: A tag from its name to its end: a quote begins a value only behind an equals sign, else it is a character like others.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
+_LONG_NUMBER = re.compile(r"&#0*[0-9]{8,};?")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW_END = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+#: Elements deeper than this aren't told apart from the one that they are in.
+DEPTH = 200
 _HOST = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -90,30 +91,44 @@ def _step(name: str, rest: str) -> str:
     return _step_of(name, tuple(sorted(marks)))
 
 
+def _behind(page: str, what: str, at: int) -> int:
+    end = page.find(what, at)
+    return len(page) if end < 0 else end + len(what)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, path, text): kind ``open`` for a structural element, ``text`` for a block of text, in page order."""
+    """(kind, path, text): kind ``open`` for a structural element, ``text`` for a block of text, in page order.
+
+    As browsers do, a tag, comment or raw element that isn't closed takes the rest of the page. Each character is read once.
+    """
     path: list[tuple[str, str]] = [("", "")]  # name, path
+    within: Counter = Counter()
     line: list[str] = []
     at = 0
 
     def block() -> Iterator[tuple[str, str, str]]:
         if line:
-            text = " ".join(html.unescape("".join(line)).split())
+            text = " ".join(html.unescape(_LONG_NUMBER.sub("\ufffd", "".join(line))).split())
             line.clear()
             if text:
                 yield "text", path[-1][1], text
 
-    while m := _TOKEN.search(page, at):
+    while m := _OPEN.search(page, at):
         if m.start() > at:
             line.append(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
+        if other := m["other"]:
+            end = {"!--": "-->", "![CDATA[": "]]>"}.get(other, ">")
+            at = _behind(page, end, m.start() + 2 if other == "!--" else m.end())
             continue
+        name, rest = m["name"].lower(), _REST.match(page, m.end())
+        at = rest.end() + 1
+        if at > len(page) or page[at - 1] != ">":
+            at = len(page)
+            break
         if name in RAW:
             if not m["end"]:
                 end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+                at = _behind(page, ">", end.end()) if end else len(page)
             continue
         if name == "br":
             line.append(" ")
@@ -121,12 +136,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield from block()
             if name in STRUCTURE:
                 if not m["end"]:
-                    if not m["rest"].endswith("/"):
-                        path.append((name, f"{path[-1][1]}/{_step(name, m['rest'])}"))
+                    if not rest[0].endswith("/"):
+                        path.append((name, f"{path[-1][1]}/{_step(name, rest[0])}" if len(path) <= DEPTH else path[-1][1]))
+                        within[name] += 1
                         yield "open", path[-1][1], ""
-                elif any(n == name for n, _ in path):
-                    while path.pop()[0] != name:
-                        pass
+                elif within[name]:
+                    closed = ""
+                    while closed != name:
+                        closed = path.pop()[0]
+                        within[closed] -= 1
     line.append(page[at:])
     yield from block()
 
