@@ -16,13 +16,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hanmoa.llm.common import BROADCAST_BYTES, alnum_words, as_bytes, slices
+from hanmoa.llm.common import BROADCAST_BYTES, alnum_words, as_bytes, slices, stored
 
-#: Labelled rows of a class that the models are fitted on at most (about; chosen by a hash), and words of each.
-SAMPLE_ROWS, SAMPLE_WORDS = 3000, 4000
+#: Labelled rows of a class that the models are fitted on at most (about; chosen by a hash), and bytes of their texts,
+#: which are taken whole in the order of another hash as long as they fit.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 20
 #: One labelled row in so many, by a hash, is kept from the models to fit the logistic function.
 HELD_FOR_SCALE = 4
 ORDER, DISCOUNT = 7, 0.75
@@ -176,7 +177,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 def fit_rows(rows: list[tuple[list[bytes], int, bool]], prior: float) -> Model:
     """Models and weights from (words, label, whether it is kept for the weights) rows."""
     if {c for _, c, _ in rows} != {0, 1}:
-        return fit([], prior)  # no evidence but the prior
+        return fit([], min(prior, 0.49))  # no evidence but the prior, which alone makes no text toxic
     first = fit([(w, c) for w, c, h in rows if not h], prior)
     out = fit([(w, c) for w, c, _ in rows], prior)
     scale = [(w, c) for w, c, h in rows if h]
@@ -188,10 +189,11 @@ def fit_rows(rows: list[tuple[list[bytes], int, bool]], prior: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None) -> Model:
-    """Fits the models on a bounded sample of labelled rows (SAMPLE_ROWS a class, SAMPLE_WORDS words of each).
+    """Fits the models on a bounded sample of labelled rows (SAMPLE_ROWS and SAMPLE_BYTES a class), each with its whole text.
 
     labels has doc_id and toxic (0, 1; others and nulls are passed over); ``usable`` narrows its rows. A doc_id with
-    several labels counts once for each. Without rows of both classes nothing but the share of toxic rows counts.
+    several labels counts once for each, repeated documents as often as they are there. Null texts are without words.
+    Without rows of both classes, of an empty table say, nothing but the share of toxic rows counts. Other columns aren't read.
     """
     y = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     if usable is not None:
@@ -203,10 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None) ->
     chosen = y.where((F.col("toxic") == 1) & (place < share.get(1, 0)) | (F.col("toxic") == 0) & (place < share.get(0, 0)))
     # at most about 2 x SAMPLE_ROWS rows
     held = F.pmod(F.xxhash64("doc_id", F.lit("scale")), F.lit(HELD_FOR_SCALE)) == 0
-    text = docs.select("doc_id", F.substring_index(F.col("text"), " ", SAMPLE_WORDS).alias("text"))
-    sample = text.join(F.broadcast(chosen.withColumn("held", held)), "doc_id").select("text", "toxic", "held").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("held", held)), "doc_id")
+    found = stored(texts.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "held", F.xxhash64("doc_id", "text").alias("place")), "kneserney")
+    until = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("place", "text", "held"))
+    sample = found.withColumn("until", until).where(F.col("until") <= SAMPLE_BYTES).select("text", "toxic", "held").collect()
     once: dict[bytes, bytes] = {}  # a word that many rows have is held once
-    rows = sorted(([once.setdefault(w, w) for w in alnum_words((r["text"] or "").encode())], r["toxic"], r["held"]) for r in sample)
+    rows = sorted(([once.setdefault(w, w) for w in alnum_words(r["text"].encode())], r["toxic"], r["held"]) for r in sample)
     del sample
     return fit_rows(rows, prior)
 
@@ -214,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None) ->
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5). Reads doc_id and text.
 
-    Null texts and texts without words have the score of a text without evidence. Texts are scored whole.
+    Null texts and texts without words have the score of a text without evidence. Texts are scored whole, repeated rows
+    alike; an empty table gives no rows; other columns aren't read.
     """
     if 12 * (len(model.grams) + len(model.contexts)) > 2 * BROADCAST_BYTES:
         raise ValueError("the models have grown beyond what may be sent to all tasks")
@@ -229,13 +234,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns, in one pass."""
+    """The rows of ``docs`` that score under 0.5, as ``score_documents`` scores them, and those without words, with all their columns, in one pass."""
     if 12 * (len(model.grams) + len(model.contexts)) > 2 * BROADCAST_BYTES:
         raise ValueError("the models have grown beyond what may be sent to all tasks")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            yield batch.filter(pa.array(sent.value.scores(as_bytes(batch, "text")) < 0.5))
+            texts = as_bytes(batch, "text")
+            ordinary = sent.value.scores(texts) < 0.5
+            yield batch.filter(pa.array([o or not alnum_words(t) for o, t in zip(ordinary.tolist(), texts, strict=True)]))
 
     return docs.mapInArrow(keep, docs.schema)
