@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hanmoa.llm import crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, templates, tokenfile, weighted
+from hanmoa.llm import components, crossparse, hyperminhash, kneserney, packing, positional, sharding, suffixruns, templates, tokenfile, weighted
 from hanmoa.llm.tokens import Encoder
 
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -82,12 +83,61 @@ def test_registers_estimate():
         assert abs(np.mean(err)) < 0.05
 
 
-def test_large_groups_are_cut_into_tiles(spark, monkeypatch):
-    monkeypatch.setattr(hyperminhash, "TILE_ROWS", 2)
-    base = text(1, 80)
-    df = table(spark, [(i, base + f" tail{i}") for i in range(9)] + [(50, text(2, 80))])
-    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(df).collect()}
-    assert got == {i: 0 for i in range(9)} | {50: 50}
+def sets_by_force(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def components_by_force(rows, percent):
+    sets = {i: sets_by_force(t) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components_by_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(1)
+    links = [(r.randrange(-40, 300), r.randrange(-40, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)] + [(None, 3), (5, 5), (4, None)]
+    label = {i: i for link in links for i in link if i is not None}
+    for _ in label:
+        for a, b in links:
+            if a is not None and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long"), "test")
+    assert {(r["id"], r["component"]) for r in got.collect()} == {(i, c) for i, c in label.items() if i != c}
+    assert components.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+@pytest.mark.parametrize("tile", [512, 2, 5])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, tile):
+    """Chains of edits, a tight group and lone texts, in whole groups and in groups cut into blocks."""
+    monkeypatch.setattr(hyperminhash, "TILE_ROWS", tile)
+    r, rows = random.Random(6), []
+    for _ in range(6):
+        w = text(r.random(), 70).split()
+        for _ in range(9):
+            rows.append(" ".join(w))
+            for _ in range(2):
+                w[r.randrange(len(w))] = str(r.random())
+    tight = text(1, 80)
+    rows += [f"{tight} tail{i}" for i in range(25)] + [text(77 + i, 30) for i in range(8)] + ["A b", "a  B", "a b c", "", None, "x" * 9000]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    for percent in (80, 85):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in hyperminhash.near_duplicates(table(spark, rows), 5, percent).collect()}
+        assert got == components_by_force(rows, percent)
 
 
 def test_repeated_passages(spark):
@@ -123,16 +173,60 @@ def test_loser_tree_merges_in_order():
         assert shared == next((i for i in range(len(a)) if a[i] != b[i]), len(a))
 
 
-def test_contamination(spark, docs):
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def item_words(t):
+    return ITEM_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def item_windows(t, width=13):
+    w = item_words(t)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def hits_by_force(t, items):
+    """n_words, n_hit and the sorted ids of items that occur."""
+    w = item_words(t)
+    hit, found = set(), set()
+    for item, u in items:
+        for window in item_windows(u):
+            for at in range(len(w) - len(window) + 1):
+                if tuple(w[at : at + len(window)]) == window:
+                    hit.update(range(at, at + len(window)))
+                    found.add(str(item) if item is not None else "")
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_contamination_by_brute_force(spark, docs, monkeypatch, sent):
+    """Phrases sent to all blocks, and those dealt by their rarest term."""
+    monkeypatch.setattr(positional, "SENT_BYTES", sent)
+    monkeypatch.setattr(positional, "BLOCK_TOKENS", 60)
     rows, df = docs
-    item = " ".join(dict(rows)[3].split()[5:25])
-    bench = spark.createDataFrame([(1, item), (2, "ONE"), (3, None), (4, ""), (1, item)], "item_id long, text string")
-    got = {r["doc_id"]: r for r in positional.contamination(df, bench).collect()}
-    assert got[3]["contaminated"] and got[3]["items"] == ["1"] and got[25]["items"] == ["2"] and got[25]["n_hit"] == 1
-    assert got[23]["n_words"] == 0 and not got[23]["contaminated"]
-    near = positional.find_near(positional.build_index(df), spark.createDataFrame([(9, item.replace(" ", " and ", 1))], "item_id long, text string"), slop=1, width=4)
-    assert 3 in {r["doc_id"] for r in near.collect()}
+    more = [(30, "ÄÖ ÄÖ-ÄÖ " * 9), (31, "one, ONE two"), (None, text(3, 60)), (32, text(40, 7000) + " one " + text(3, 60))]
+    df = df.unionByName(table(spark, more))
+    r = random.Random(8)
+    items = [(i, " ".join((rows[i][1] or "").split()[r.randrange(20) :][: r.randrange(5, 25)]).upper()) for i in range(12)]
+    items += [(1, items[1][1]), (50, "ONE"), (51, None), (52, ""), (53, "-- !"), (54, "ÄÖ" + " ÄÖ" * 14), (55, "one one"), (None, items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("block", F.lit(1))
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in positional.contamination(df, bench).collect()), key=str)
+    expect = [(i or 0, *hits_by_force(t, items)) for i, t in rows + more]
+    assert got == sorted(((*e, e[2] > 0 and 20 * e[2] >= e[1]) for e in expect), key=str)
+    assert sum(e[2] > 0 for e in expect) > 10
     assert positional.contamination(table(spark, []), bench).count() == 0
+    assert positional.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_proximity_stays_within_documents(spark, monkeypatch, sent):
+    monkeypatch.setattr(positional, "SENT_BYTES", sent)
+    rows = [(1, "a b"), (2, "c d"), (3, "b x c"), (4, "c b"), (5, "b c b c"), (6, None), (7, "b y y c")]
+    bench = spark.createDataFrame([(9, "b c")], "item_id long, text string")
+    for slop, expect in ((0, {5: 2}), (1, {3: 1, 5: 2}), (2, {3: 1, 4: 1, 5: 2, 7: 1})):
+        index = positional.build_index(table(spark, rows).coalesce(1))
+        got = {r["doc_id"]: r["n_matches"] for r in positional.find_near(index, bench, slop).collect()}
+        assert got == expect, slop
 
 
 def test_elias_fano():
@@ -141,6 +235,7 @@ def test_elias_fano():
         ef = tokenfile.EliasFano.encode(np.array(values, dtype=np.int64))
         assert ef.values().tolist() == list(values)
         assert [ef.select(i) for i in range(len(values))] == list(values)
+        assert tokenfile.EliasFano.load(ef.dump()).values().tolist() == list(values)
 
 
 def test_token_file_and_packing(spark, docs):
@@ -165,11 +260,33 @@ def test_token_file_and_packing(spark, docs):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
-    e = Encoder(vocabularies.path(name))
+    from tokenizers import Tokenizer
+
+    e, bare = Encoder(vocabularies.path(name)), Tokenizer.from_file(vocabularies.path(name))
     r = random.Random(3)
-    bits = ["the", "It's", "don't", " ", "  ", "\n", "\n ", "\t", "\xa0", "\x1c", ".", "***", "23", "²", "é", "ß", "α", "日本", "한글", "́", "😀", "<|endoftext|>", "İ"]
+    bits = ["the", "It's", "don't", " ", "  ", "\n", "\n ", "\t", "\xa0", "\x1c", ".", "***", "23", "²", "é", "ß", "α", "日本", "한글", "́", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "İ"]
     texts = ["".join(r.choices(bits, k=r.randrange(12))) for _ in range(2000)]
-    assert e.encode(texts) == [e._whole(t) for t in texts]
+    assert [np.frombuffer(x, dtype=e.kind).tolist() for x in e.encode(texts)] == [bare.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_file_keeps_all_doc_ids(spark):
+    path = vocabularies.path("byte_bpe_50k.json")
+    rows = [(None, "b"), (None, None), (-(2**63), "x"), (-5, ""), (-5, "a a"), (0, "y " * 5000), (2**63 - 1, "z"), (2**63 - 1, "z")]
+    got = tokenfile.read_token_file(tokenfile.write_token_file(table(spark, rows), path, 0)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows] and got[5]["n_tokens"] > 5000
+
+
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    """A text without blanks, and the end of a long one, count; texts beyond the bound of bytes aren't drawn."""
+    rows = [(i, text(i, 3000) + (" vilestem" if i % 2 else "")) for i in range(24)] + [(50 + i, "-".join(["calm", str(i), "vilestem" if i % 2 else "x"])) for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(kneserney, "HELD_FOR_SCALE", 1_000_000)
+    model = kneserney.train(table(spark, rows), labels)
+    assert model.of_words([b"vilestem"])[0] > 0
+    monkeypatch.setattr(kneserney, "SAMPLE_BYTES", 60_000)
+    assert kneserney.train(table(spark, rows), labels).of_words([b"vilestem"])[0] > 0
+    empty = kneserney.train(table(spark, []), labels)
+    assert kneserney.score_documents(table(spark, []), empty).count() == 0 and kneserney.keep_ordinary(table(spark, [(1, None), (1, None)]), empty).count() == 2
 
 
 def test_toxicity(spark):
@@ -215,3 +332,42 @@ def test_templates(spark):
     got = {r["page_id"]: r for r in templates.extract_text(df).collect()}
     assert got[1]["text"] == got[2]["text"] == "A & B\n\nxy z w\n\nlast" and got[3]["text"] == got[4]["text"] == "" and got[11]["text"] == "story 1 text"
     assert templates.extract_text(df.limit(0)).count() == 0
+
+
+def test_fingerprint_likeness_follows_generalised_jaccard():
+    r = random.Random(4)
+    sampler, errors = weighted.Sampler(kept=200), []
+    for _ in range(150):  # the sampler forgets meanwhile
+        words = [str(r.randrange(10**9)) for _ in range(60)]
+        a = {w: r.randrange(1, 5) for w in words[:45]}
+        b = a | {w: r.randrange(1, 6) for w in words[: r.randrange(30)]} | dict.fromkeys(words[45 : 45 + r.randrange(15)], 1)
+        texts = [" ".join(w for w, n in bag.items() for _ in range(n)).encode() for bag in (a, b)]
+        prints = sampler.fingerprints(texts)
+        assert (weighted.Sampler().fingerprints(texts) == prints).all()
+        both = a.keys() | b.keys()
+        true = sum(min(a.get(w, 0), b.get(w, 0)) for w in both) / sum(max(a.get(w, 0), b.get(w, 0)) for w in both)
+        errors.append(weighted.likeness(prints[:1], prints[1:])[0] - true)
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+
+
+def test_near_columns_compare_with_the_edited_and_the_next_text(spark, docs):
+    rows, df = docs
+    rows = sorted(rows)
+    prints = weighted.Sampler().fingerprints([(t or "").encode() for _, t in rows])
+    for r in weighted.compare_edited(df).collect():
+        k = [i for i, _ in rows].index(r["doc_id"])
+        after = weighted.likeness(prints[k : k + 1], np.roll(prints, -1, axis=0)[k : k + 1])[0]
+        assert r["near_next"] == pytest.approx(after) and r["fingerprint"] == prints[k].tobytes().hex()
+        edited = np.frombuffer(bytes.fromhex(r["edited_fingerprint"]), dtype=np.uint8)[None]
+        assert r["near_edited"] == pytest.approx(weighted.likeness(prints[k : k + 1], edited)[0])
+
+
+def test_fingerprints_of_a_doc_id_that_many_rows_have(spark):
+    rows = [(7, text(i, 9)) for i in range(60)] + [(None, text(99 + i, 9)) for i in range(30)] + [(9, "x"), (9, "x"), (8, "w" * 9000)]
+    got = weighted.compare_edited(table(spark, rows)).collect()
+    assert len(got) == len(rows) and sorted(r["n_chars"] for r in got) == sorted(len(t) for _, t in rows)
+    bounds = np.array([3.0, 7.0, 7.0, 7.0, 8.0])
+    hashes = np.linspace(-(2.0**63), 2.0**63 - 2048, 40).astype(np.int64)
+    numbers = weighted.range_numbers(bounds, np.full(40, 7.0), hashes)
+    assert set(numbers) == {1, 2, 3, 4} and (np.diff(numbers) >= 0).all()
+    assert weighted.range_numbers(bounds, np.array([2.0, 4.0, 7.5, 9.0]), hashes[:4]).tolist() == [0, 1, 4, 5]

@@ -1,5 +1,7 @@
 """Pages whose template, wrappers and marks decide what their main text is."""
 
+import time
+
 from hanmoa.llm import templates
 
 
@@ -37,3 +39,25 @@ def test_all_marks_of_an_element_count(spark):
     assert texts(spark, pages) == [f"story {i}" for i in range(3)]
     other = many.replace("jj", "kk").replace("sidebar", "x")
     assert templates._step("div", f"class='{many}'") != templates._step("div", f"class='{other}'") and "/" not in templates._step("div", f"class='{many}'")
+
+
+def blocks(page):
+    return [t for kind, _, t in templates.tokens(page) if kind == "text"]
+
+
+def test_tags_are_read_as_browsers_read_them():
+    assert blocks("<p data-x=don't>Hello</p>") == ["Hello"]
+    assert blocks("<p title='a > b' data=\"c > d\" x = 'e>'>Hello <b class=x'y>you</b></p>") == ["Hello you"]
+    assert blocks("a < b <3 c<!-->d<!-- > -->e<![CDATA[ f ]]>g</>h<?php x ?>i") == ["a < b <3 cdeghi"]
+    assert blocks("x<p title='never closed>y</p>") == ["x"] and blocks("x<p") == ["x"] and blocks("x<script>y</script") == ["x"]
+    assert blocks("<title>t</TITLE x>a<style></styles></style>b") == ["ab"]
+    assert blocks(f"&#{'9' * 5000};&#x1F600;&amp;&#65") == ["\ufffd😀&A"]
+
+
+def test_very_long_pages_take_time_in_proportion():
+    for part in ("<a ", "<p x='", "<div>", "</div>", "<div></p></div>", "<!--", "</script", "<script>", "<b>x", "&#1", "<div class=a>", "='"):
+        began = time.process_time()
+        sum(len(t) for _, _, t in templates.tokens(part * (1_000_000 // len(part))))
+        assert time.process_time() - began < 3, part
+    deep = "<div>" * 1000 + "text" + "</div>" * 1000 + "<article>after</article>"
+    assert blocks(deep) == ["text", "after"]
