@@ -182,17 +182,6 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.without_repeats(e, "user_id", "ts", "event_type").select("user_id", "event_type", "ts")
 
 
-def weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weights that tuning tries."""
-    from dataclasses import astuple
-
-    from hanmoa.operators.similarity import Weights
-    from hanmoa.operators.tuning import weight_candidates
-
-    rows = [(i, *astuple(w)) for i, w in enumerate(weight_candidates(Weights(), 80))]
-    return spark.createDataFrame(rows, "id int, edit double, jaccard double, keyboard double, jamo double, prefix double, exact double")
-
-
 _CALLS = "(SELECT ['search', 'similar', 'explain'][event_id % 3 + 1] AS kind, event_id % 2 = 0 AS is_async, ['success', 'cancelled', 'failure', 'success'][event_id % 4 + 1] AS outcome, event_id % 5 = 0 AS cache_hit, user_id AS returned FROM events)"
 _CALL_SQL = ", ".join(
     [f"count(*) FILTER (kind = '{k}' AND NOT is_async) AS sync_{k}_count" for k in ("search", "similar", "explain")]
@@ -233,7 +222,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feedback_summary": feedback_summary,
     "retention": retention,
     "changes": changes,
-    "weight_candidates": weight_table,
     "number_to_hangul": lambda s, d: _amounts(s, d).select("id", numerals.number_to_hangul(F.col("k")).alias("out")),
     "number_to_hangul_mixed": lambda s, d: _amounts(s, d).select("id", numerals.number_to_hangul_mixed(F.col("k")).alias("out")),
     "search_onsets": search_onsets,
