@@ -61,7 +61,7 @@ def _scored_sql(pairs: str, weights: str = "(SELECT 0 AS wid, 0.35::DOUBLE AS we
     text = lambda w: f"array_to_string(list_transform({w}, lambda i: chr((97 + i)::INT)), '')"
     keys = lambda w: f"array_to_string(list_transform({w}, lambda i: {_ONSET_KEYS}[i // 5 + 1] || 'k' || {_FINAL_KEYS}[i % 5 + 1]), '')"
     onsets = lambda w: f"array_to_string(list_transform({w}, lambda i: {_ONSET_KEYS}[i // 5 + 1]), '')"
-    grams = lambda o: f"list_distinct(list_transform(range(1, length({o})), lambda i: substr({o}, i::INT, 2)))"
+    grams = lambda o: f"CASE WHEN length({o}) < 2 THEN [{o}] ELSE list_distinct(list_transform(range(1, length({o})), lambda i: substr({o}, i::INT, 2))) END"
     inner = f"list_reduce(list_prepend([x[1]], list_transform(range(1, length(kb) + 1), lambda j: [j::DOUBLE])), lambda acc, y: list_append(acc, least(acc[-1] + 1, before[y[1]::INT + 1] + 1, before[y[1]::INT] + ({_cost('substr(ka, x[1]::INT, 1)', 'substr(kb, y[1]::INT, 1)')})::DOUBLE)))"
     typing = f"list_reduce(list_prepend(list_transform(range(0, length(kb) + 1), lambda j: j::DOUBLE), list_transform(range(1, length(ka) + 1), lambda i: [i::DOUBLE])), lambda before, x: {inner})[-1]"
     return f"""
@@ -120,7 +120,7 @@ WEIGHTINGS = [(0.35, 0.25, 0.15, 0.25, 0.08, 0.12), (1.0, 0.01, 0.01, 0.01, 0.0,
 
 def fallback_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers whose onsets begin with those of a query, or the most similar where there are none; at most five."""
-    queries = spark.createDataFrame([(1, "가나"), (2, "ㅋ"), (3, "람람람람"), (4, " "), (5, "ㄹ")], "qid long, query string")
+    queries = spark.createDataFrame([(1, "가나"), (2, "ㅋ"), (3, "람람람람"), (4, " "), (5, "라")], "qid long, query string")
     options = SimilarityOptions(limit=5, layouts=False, candidates=ALL, minimum=0.0)
     index = HangulIndex(_suppliers(spark, sf_dir), "name", "id", SearchPolicy("lazy"))
     out = search_with_fallback(index, queries.where("qid != 2"), "prefix", max_results=5, options=options)
