@@ -18,6 +18,8 @@ ORDINALS = ["", "한", "두", *ONES[3:]]
 DAYS = ["", "하루", "이틀", "사흘", "나흘", "닷새", "엿새", "이레", "여드레", "아흐레"]
 DAY_TENS, WHOLE_DAY_TENS = ["", "열", "스무", ""], {10: "열흘", 20: "스무날", 30: "서른날"}
 INFINITE = "무한대"
+#: Text that is read without looking for signs, points or white space.
+_PLAIN = r"^[0-9]+\z"
 
 
 def _word(number: Column, tens: list[str], ones: list[str], special: dict[int, str]) -> Column:
@@ -78,26 +80,31 @@ def large_unit(index: Column) -> Column:
 
 def _fours(digits: Column) -> Column:
     """array<struct<four, index>>: the digits in fours, from the highest; four is padded with zeros."""
-    plain = F.regexp_replace(digits, "^0+", "")
+    plain = F.ltrim(digits, F.lit("0"))
     n = F.ceil(F.length(plain) / 4).cast("int")
     padded = F.lpad(plain, n * 4, "0")
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.lit([]).cast("array<int>"))
     return F.transform(index, lambda i: F.struct(F.substring(padded, i * 4 + 1, F.lit(4)).alias("four"), (n - 1 - i).alias("index")))
 
 
-def _spoken(digits: Column, spacing: bool) -> Column:
-    """A digit string in words."""
+def _four_spoken(n: int) -> str:
+    """Four digits in words: a one is silent before a unit, and nothing is said of a zero."""
+    out = ""
+    for place, unit in zip((1000, 100, 10, 1), reversed(SMALL), strict=True):
+        d = n // place % 10
+        out += (DIGITS[d] if d > 1 or d and not unit else "") + (unit if d else "")
+    return out
 
-    def digit(four: Column, k: int) -> Column:
-        d = F.substring(four, k + 1, 1).cast("int")
-        unit = SMALL[3 - k]
-        return F.when(d == 0, "").when((d == 1) & F.lit(bool(unit)), unit).otherwise(F.concat(F.get(strings(DIGITS), d), F.lit(unit)))
 
-    def group(g: Column) -> Column:
-        return F.concat(*(digit(g["four"], k) for k in range(4)), large_unit(g["index"]))
+#: The words of 0 to 9,999, made once; one lookup says a group of four digits.
+_SPOKEN = ",".join(map(_four_spoken, range(10_000)))
 
-    groups = F.transform(F.filter(_fours(digits), lambda g: g["four"] != "0000"), group)
-    joined = F.array_join(groups, " " if spacing else "")
+
+def _spoken(digits: Column, spacing: bool) -> Column:
+    """A digit string in words."""
+    words = F.split(F.lit(_SPOKEN), ",")  # folded to a constant array by the optimiser
+    said = F.transform(_fours(digits), lambda g: F.when(g["four"] != "0000", F.concat(F.get(words, g["four"].cast("int")), large_unit(g["index"]))))
+    joined = F.array_join(said, " " if spacing else "")  # passes over nulls
     return F.when(joined == "", DIGITS[0]).otherwise(joined)
 
 
@@ -115,8 +122,11 @@ def number_to_hangul(number: Column, spacing: bool = False, double: bool = False
 
     Text that is no number is zero and empty text is empty. Fraction digits are read one by one.
     """
-    out = bind(trim_space(_as_text(number, double)), lambda s: bind(parse_decimal(s), lambda p: _in_words(s, p, spacing)))
-    return F.when(number.isNotNull(), out)
+    def of_text(text: Column) -> Column:
+        any_number = bind(trim_space(text), lambda s: bind(parse_decimal(s), lambda p: _in_words(s, p, spacing)))
+        return F.when(text.rlike(_PLAIN), _spoken(text, spacing)).otherwise(any_number)
+
+    return F.when(number.isNotNull(), bind(_as_text(number, double), of_text))
 
 
 def _in_words(s: Column, p: Column, spacing: bool) -> Column:
@@ -132,20 +142,25 @@ def _in_words(s: Column, p: Column, spacing: bool) -> Column:
 def number_to_hangul_mixed(number: Column, spacing: bool = False, double: bool = False) -> Column:
     """A number in digits with commas and a unit for each four."""
     zero = F.when(F.isnan(number), "0") if double else F.lit(None).cast("string")
-    out = bind(trim_space(_as_text(number, double)), lambda s: bind(parse_decimal(s), lambda p: _in_digits(s, p, spacing, zero)))
-    return F.when(number.isNotNull(), out)
+    def of_text(text: Column) -> Column:
+        any_number = bind(trim_space(text), lambda s: bind(parse_decimal(s), lambda p: _in_digits(s, p, spacing, zero)))
+        return F.when(text.rlike(_PLAIN), _grouped(text, spacing)).otherwise(any_number)
+
+    return F.when(number.isNotNull(), bind(_as_text(number, double), of_text))
+
+
+def _grouped(digits: Column, spacing: bool) -> Column:
+    """A digit string with commas and a unit for each four."""
+    groups = F.transform(_fours(digits), lambda g: F.when(g["four"] != "0000", F.concat(F.format_number(g["four"].cast("int"), 0), large_unit(g["index"]))))
+    joined = F.array_join(groups, " " if spacing else "")
+    return F.when(joined == "", "0").otherwise(joined)
 
 
 def _in_digits(s: Column, p: Column, spacing: bool, zero: Column) -> Column:
     nonzero = F.concat(p["whole"], p["fraction"]).rlike("[1-9]")
-    groups = F.transform(
-        F.filter(_fours(p["whole"]), lambda g: g["four"] != "0000"),
-        lambda g: F.concat(F.format_number(g["four"].cast("int"), 0), large_unit(g["index"])),
-    )
-    joined = F.array_join(groups, " " if spacing else "")
     words = F.concat(
         F.when(p["negative"] & nonzero, "-").otherwise(""),
-        F.when(joined == "", "0").otherwise(joined),
+        _grouped(p["whole"], spacing),
         F.when(p["fraction"] == "", "").otherwise(F.concat(F.lit("."), p["fraction"])),
     )
     return F.when(s == "", "").otherwise(F.coalesce(zero, infinity(s, True, spacing), words, F.lit(DIGITS[0])))

@@ -101,6 +101,7 @@ def assemble(s: Column) -> Column:
     parted = s
     for double, pair in FINAL_PAIRS.items():
         parted = F.regexp_replace(parted, f"(?<=[{_L}]{_VOWEL}){double}(?=[{_V}])", pair)
+    parted = F.when(s.rlike(f"[{_DOUBLE}][{_V}]"), parted).otherwise(s)  # seldom
     found = F.regexp_extract_all(parted, F.lit(f"(?s){_SYLLABLE}|."), F.lit(0))
 
     def one(token: Column) -> Column:
