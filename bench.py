@@ -8,9 +8,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from hanmoa.plans.registry import QUERIES
+from hanmoa.plans import ranked, registry
 
-HEADLINE = ["choseong", "disassemble", "assemble", "standardize_pronunciation", "search_onsets", "search_prefix", "pair_statistics", "number_to_hangul"]
+QUERIES = registry.QUERIES | ranked.QUERIES
+HEADLINE = ["choseong", "disassemble", "assemble", "standardize_pronunciation", "search_onsets", "search_prefix", "pair_statistics", "number_to_hangul", "similarity_components", "ranked_names"]
 
 
 def main() -> None:

@@ -5,7 +5,10 @@ Events have query, selected_key, ts, outcome, locale and ``seq``, the order in w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hanmoa.functions.jamo import trim_space
@@ -20,6 +23,27 @@ def retained(events: DataFrame, now: Column, ttl_seconds: int = 30 * 86400, max_
     return fresh.orderBy(F.desc("seq")).limit(max(1, max_events))
 
 
+EVENTS = "query string, selected_key string, ts timestamp, outcome string, locale string, seq long"
+# What became of a suggestion.
+OUTCOMES = ("acceptedSuggestion", "clickedResult", "noSuggestion", "unknown")
+
+
+def record(spark: SparkSession, path: str, events: list[tuple[str, str | None, datetime, str, str | None]]) -> None:
+    """Appends events (query, selected_key, ts, outcome, locale) to the log at ``path``, in the order given.
+
+    ``seq`` goes by the time of the call, so that later calls come later; an unknown outcome is ``unknown``.
+    """
+    base = time.time_ns()
+    rows = [(q, k, ts, o if o in OUTCOMES else "unknown", locale, base + i) for i, (q, k, ts, o, locale) in enumerate(events)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def dropped(events: DataFrame, now: Column, ttl_seconds: int = 30 * 86400, max_events: int = 10_000) -> DataFrame:
+    """One row: how many events ``retained`` drops for their age, and of the others for their number."""
+    fresh = F.count_if(F.col("ts") >= now - F.make_interval(secs=F.lit(max(60, ttl_seconds))))
+    return events.agg((F.count(F.lit(1)) - fresh).alias("dropped_by_ttl"), F.greatest(F.lit(0), fresh - max(1, max_events)).cast("long").alias("dropped_by_size"))
+
+
 def pair_stats(events: DataFrame, max_pairs: int | None = None) -> DataFrame:
     """(query, selected_key, occurrences, last_seen), trimmed and not empty, most frequent and latest first."""
     out = (

@@ -13,6 +13,7 @@ from threading import Thread
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hanmoa.functions.jamo import FIRST, LAST, ONSETS
 from hanmoa.functions.syllables import get_choseong, nfc_hangul
 
 MODES = ("contains", "prefix", "exact")
@@ -106,6 +107,21 @@ class HangulIndex:
         self._cache: OrderedDict[tuple[str, str], DataFrame] = OrderedDict()
         self.cache_hits = 0
 
+    @classmethod
+    def of(cls, items: DataFrame, order: str, policy: SearchPolicy | None = None) -> HangulIndex:
+        """An index on the first string column."""
+        key = next((f.name for f in items.schema if f.dataType.simpleString() == "string"), None)
+        if key is None:
+            raise ValueError("no column of the items is text")
+        return cls(items, key, order, policy or SearchPolicy())
+
+    def close(self) -> None:
+        """Gives back what the index holds in memory."""
+        for held in (*self._cache.values(), self.posted, self.table):
+            if held is not None:
+                held.unpersist()
+        self._cache.clear()
+
     def count(self) -> int:
         return self.table.count()
 
@@ -137,8 +153,9 @@ class HangulIndex:
         if mode not in MODES:
             raise ValueError(mode)
         cut = query[: self.policy.max_query_length] if self.policy.max_query_length else query
-        if (hit := self._cache.get((mode, cut))) is not None:
-            self._cache.move_to_end((mode, cut))
+        held = (mode, "".join(ONSETS[(ord(c) - FIRST) // 588] if FIRST <= ord(c) <= LAST else c for c in cut))  # queries of the same onsets share it
+        if (hit := self._cache.get(held)) is not None:
+            self._cache.move_to_end(held)
             self.cache_hits += 1
             return hit
         wanted = get_choseong(F.lit(cut), self.policy.keep_other, self.policy.whitespace)
@@ -150,7 +167,7 @@ class HangulIndex:
             rows = rows.orderBy("idx").limit(self.policy.max_candidate_scan)
         out = rows.where((wanted != "") & matches(F.col("choseong_key"), wanted, mode)).orderBy("idx").select(*self.items.columns)
         if self.policy.cache_size > 0:
-            self._cache[mode, cut] = out = out.cache()
+            self._cache[held] = out = out.cache()
             if len(self._cache) > self.policy.cache_size:
                 self._cache.popitem(last=False)[1].unpersist()
         return out

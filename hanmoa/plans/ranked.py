@@ -225,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_counted": search_counted,
     "index_keys": index_keys,
     "top_pairs": top_pairs,
+    "retention_drops": lambda s, d: feedback.dropped(_events(s, d), F.lit("2024-01-20 00:00:00").cast("timestamp"), 10 * 86400, 1000),
     "uniform_numbers": uniform_numbers,
     "weight_candidates": weight_candidates,
     "sanitized_weights": sanitized_weights,
@@ -250,6 +251,7 @@ ORACLES: dict[str, str] = {
     "search_counted": "SELECT count(*) AS n, 2::BIGINT AS hits FROM customer",
     "index_keys": f"SELECT id, name || ' ' || lower(c_name) || ' ' || chr(44033) AS norm_key, onsets || replace(c_name, ' ', '') || chr(4352) || chr(4449) || chr(4520) AS choseong_key, id AS idx FROM {_CUSTOMER}",
     "top_pairs": "SELECT row_number() OVER (ORDER BY occurrences DESC, last_seen DESC, query, selected_key) - 1 AS place, * FROM (SELECT count(*) AS occurrences, max(ts) AS last_seen, (user_id % 50)::VARCHAR AS query, event_type AS selected_key FROM events GROUP BY 3, 4) ORDER BY 1 LIMIT 10",
+    "retention_drops": "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-10 00:00:00') AS dropped_by_ttl, greatest(0, count(*) FILTER (ts >= TIMESTAMP '2024-01-10 00:00:00') - 1000) AS dropped_by_size FROM events",
     "uniform_numbers": _STATE.format(n=999) + " SELECT i::INT AS i, u FROM u",
     "weight_candidates": _tuning_sql(),
     "sanitized_weights": "SELECT s_suppkey AS id, " + ", ".join(f"least({0.5 if k > 3 else 2.0}, greatest({0.0 if k > 3 else 0.01}, s_acctbal / 1000 - {k}))::DOUBLE AS {n}" for k, n in enumerate(_NAMES)) + " FROM supplier",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from hanmoa.operators.search import HangulIndex, matches
 from hanmoa.operators.similarity import SimilarityOptions, search_with_fallback
@@ -35,3 +37,22 @@ def answer_stream(index: HangulIndex, queries: DataFrame, sink: Callable[[DataFr
         sink(search_with_fallback(index, batch.withColumn("qid", F.xxhash64("session", "ts", "query")), options=options), number)
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def changed_stream(events: DataFrame, by: str = "session", ts: str = "ts", value: str = "query") -> DataFrame:
+    """Events of a stream whose value differs from that of the one before of the same ``by``; the last value is its state."""
+    place = events.columns.index(value)
+
+    def changes(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        before, kept = (state.get[0], True) if state.exists else (None, False)
+        keep = []
+        for v in rows.iloc[:, place]:
+            v = None if pd.isna(v) else v
+            keep.append(not kept or v != before)
+            before, kept = v, True
+        state.update((before,))
+        yield rows[keep]
+
+    kind = events.schema[value].dataType.simpleString()
+    return events.groupBy(by).applyInPandasWithState(changes, events.schema, f"value {kind}", "append", "NoTimeout")
