@@ -292,7 +292,9 @@ def classes(total: DataFrame) -> DataFrame:
     token stands for the page, so its class is what each page has once.
     """
     every = total.where("token = ''").select("host", F.col("pages").alias("all"))
-    valid = total.join(every, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    # a host may have a third of all pages, so rows aren't dealt by host
+    widest = every.agg(F.max(F.octet_length("host"))).first()[0] or 0
+    valid = join_small(total, every, "host", "inner", widest + 16).where(F.col("pages") >= SUPPORT * F.col("all"))
     return valid.groupBy("host", "pages", "times", "first", "second").agg(F.sort_array(F.collect_list("token")).alias("tokens")).drop("first", "second")
 
 
