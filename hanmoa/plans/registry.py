@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanmoa.functions import keyboard, numerals, particles, pronunciation, syllables
-from hanmoa.functions.jamo import FINAL_PAIRS, FINALS, ONSETS, VOWEL_PAIRS, VOWELS
 from hanmoa.operators import feedback
 from hanmoa.operators.search import HangulIndex, SearchPolicy
 from hanmoa.operators.similarity import SimilarityOptions, search_similar
+from hanmoa.plans import script
+from hanmoa.plans.script import FINAL_PAIRS, FINALS, ONSETS, VOWEL_PAIRS, VOWELS
 
 _STEPS = [(37, 11), (7919, 5), (613, 101)]
 
@@ -74,7 +75,7 @@ _K = "p_partkey"
 _LAST = _code(_K, 2)
 _HEAD = f"{_syllable(_K, 0)} || {_syllable(_K, 1)}"
 _SPLIT_V, _SPLIT_T = [VOWEL_PAIRS.get(v, v) for v in VOWELS], [FINAL_PAIRS.get(t, t) for t in FINALS]
-_KEY = {j: k for k, j in keyboard.KEYS.items()}
+_KEY = script.KEY_OF
 _KEYS = lambda kind: ["".join(_KEY[x] for x in (VOWEL_PAIRS | FINAL_PAIRS).get(j, j)) for j in kind]
 _FEWER_T = [FINALS.index(FINAL_PAIRS[t][0]) if t in FINAL_PAIRS else 0 for t in FINALS]
 _FEWER_V = [VOWELS.index(VOWEL_PAIRS[v][0]) if v in VOWEL_PAIRS else -1 for v in VOWELS]
@@ -92,7 +93,7 @@ def _four(x: str) -> str:
     for unit, place in (("천", 1000), ("백", 100), ("십", 10), ("", 1)):
         d = f"({x} // {place} % 10)"
         one = unit or "일"
-        out.append(f"CASE {d} WHEN 0 THEN '' WHEN 1 THEN '{one}' ELSE {_pick(numerals.DIGITS, d)} || '{unit}' END")
+        out.append(f"CASE {d} WHEN 0 THEN '' WHEN 1 THEN '{one}' ELSE {_pick(script.DIGITS, d)} || '{unit}' END")
     return "(" + " || ".join(out) + ")"
 
 
@@ -239,13 +240,13 @@ ORACLES: dict[str, str] = {
     "choseong": _sql(_onsets(_K)),
     "has_batchim": _sql(f"{_LAST} % 28 > 0"),
     "remove_last_character": _sql(f"{_HEAD} || {_PEELED}"),
-    "qwerty_to_alphabet": _sql(f"translate(p_name, '{''.join(keyboard._TYPED)}', '{''.join(keyboard._TYPED.values())}')"),
+    "qwerty_to_alphabet": _sql(f"translate(p_name, '{''.join(script.TYPED)}', '{''.join(script.TYPED.values())}')"),
     "hangul_to_qwerty": _sql(_letters(_K, _KEYS(ONSETS), _KEYS(VOWELS), [""] + _KEYS(FINALS[1:]))),
     "josa_object": _sql(f"{_word(_K)} || CASE WHEN {_LAST} % 28 > 0 THEN '을' ELSE '를' END"),
     "josa_instrument": _sql(f"{_word(_K)} || CASE WHEN {_LAST} % 28 IN (0, 8) THEN '로' ELSE '으로' END"),
-    "susa": _sql(f"CASE WHEN p_size BETWEEN 1 AND 100 THEN {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.ONES, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
-    "seosusa": _sql(f"CASE p_size WHEN 1 THEN '첫' WHEN 2 THEN '둘' WHEN 20 THEN '스무' ELSE {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.ORDINALS, '(p_size % 10)')} END || '째'"),
-    "days": _sql(f"CASE WHEN p_size > 30 THEN p_size::VARCHAR || '일' WHEN p_size = 10 THEN '열흘' WHEN p_size = 20 THEN '스무날' WHEN p_size = 30 THEN '서른날' ELSE {_pick(['', '열', '스무'], '(p_size // 10)')} || {_pick(numerals.DAYS, '(p_size % 10)')} END"),
+    "susa": _sql(f"CASE WHEN p_size BETWEEN 1 AND 100 THEN {_pick(script.TENS, '(p_size // 10)')} || {_pick(script.ONES, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
+    "seosusa": _sql(f"CASE p_size WHEN 1 THEN '첫' WHEN 2 THEN '둘' WHEN 20 THEN '스무' ELSE {_pick(script.TENS, '(p_size // 10)')} || {_pick(script.ORDINALS, '(p_size % 10)')} END || '째'"),
+    "days": _sql(f"CASE WHEN p_size > 30 THEN p_size::VARCHAR || '일' WHEN p_size = 10 THEN '열흘' WHEN p_size = 20 THEN '스무날' WHEN p_size = 30 THEN '서른날' ELSE {_pick(['', '열', '스무'], '(p_size // 10)')} || {_pick(script.DAYS, '(p_size % 10)')} END"),
     "compose": _sql("chr((44032 + (p_partkey % 19) * 588 + (p_partkey % 21) * 28 + p_partkey % 28)::INT)"),
     "disassemble_to_groups": _sql(" || '|' || ".join(f"{_pick(ONSETS, f'({c} // 588)')} || {_pick(_SPLIT_V, f'(({c} % 588) // 28)')} || {_pick(_SPLIT_T, f'({c} % 28)')}" for c in (_code(_K, i) for i in range(3)))),
     "combine_character": _sql("chr((44032 + (p_partkey % 19) * 588 + (p_partkey % 21) * 28 + p_partkey % 28)::INT)"),
@@ -253,7 +254,7 @@ ORACLES: dict[str, str] = {
     "can_be_jongseong": _sql(f"list_contains({_list(FINALS)}, {_pick(ONSETS, '(p_partkey % 19)')})"),
     "qwerty_to_hangul": _sql(_word(_K)),
     "normalize": _sql(_word(_K)),
-    "susa_modifier": _sql(f"CASE WHEN p_size = 20 THEN '스무' WHEN p_size BETWEEN 1 AND 100 THEN {_pick(numerals.TENS, '(p_size // 10)')} || {_pick(numerals.MODIFIERS, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
+    "susa_modifier": _sql(f"CASE WHEN p_size = 20 THEN '스무' WHEN p_size BETWEEN 1 AND 100 THEN {_pick(script.TENS, '(p_size // 10)')} || {_pick(script.MODIFIERS, '(p_size % 10)')} ELSE p_size::VARCHAR END"),
     "josa_and": _sql(f"{_word(_K)} || CASE WHEN {_LAST} % 28 > 0 THEN '과' ELSE '와' END"),
     "amount_to_hangul": f"SELECT id, {_WORDS} AS out FROM {_AMOUNTS}",
     "training_samples": "SELECT (user_id % 50)::VARCHAR AS query, event_type AS expected_key FROM events GROUP BY 1, 2 HAVING count(*) >= 2",
