@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanmoa.operators.search import HangulIndex
-from hanmoa.operators.similarity import SimilarityOptions, Weights, candidates, component_columns, score_columns, variants
+from hanmoa.operators.similarity import SimilarityOptions, Weights, candidates, component_columns, looked_at, score_columns, variants
 
 # Factors tried on the core weights and on the bonuses, ranges of random factors, default seed, generator's constants.
 CORE_FACTORS, BONUS_FACTORS = (0.65, 0.8, 1.0, 1.2, 1.35), (0.5, 0.8, 1.0, 1.2, 1.5)
@@ -79,33 +79,58 @@ class TuningReport:
     leaderboard: list[tuple[Weights, Metrics]] = field(default_factory=list)
 
 
+def first_items(index: HangulIndex, options: SimilarityOptions) -> DataFrame:
+    """(raw_key, idx, copy): of the items of one name the first, as many as can be among the best."""
+    items = index.table.select("raw_key", "idx").where("raw_key is not null")
+    if scan := index.policy.max_candidate_scan:
+        items = items.orderBy("idx").limit(scan)
+    copy = F.row_number().over(Window.partitionBy("raw_key").orderBy("idx"))
+    return items.withColumn("copy", copy).where(F.col("copy") <= max(1, options.limit))
+
+
 def evaluate(index: HangulIndex, samples: DataFrame, weights: list[Weights], options: SimilarityOptions) -> list[Metrics]:
     """Metrics of samples (query, expected_key) under each of some weights.
 
-    Components don't depend on weights: they are worked out once by sample, form and item, and only then meet the weights.
+    What is equal is worked out once: samples are counted, and where all items are scored, a name is scored for all its items.
+    Components don't depend on weights: they are worked out once by query, form and name, and only then meet the weights.
     """
     spark = samples.sparkSession
-    numbered = samples.select("query", "expected_key").withColumn("qid", F.row_number().over(Window.orderBy("query", "expected_key"))).cache()
-    n = numbered.count()  # bounded by the caller: samples are a few thousand
+    counted = samples.groupBy("query", "expected_key").agg(F.count(F.lit(1)).alias("times")).cache()
+    n = counted.agg(F.sum("times")).first()[0]
     if not n:
+        counted.unpersist()
         return [Metrics()] * len(weights)
-    pairs = candidates(variants(numbered.select("qid", "query"), index, options.layouts), index, options).where("strong or coarse >= 0.05")
+    copies = first_items(index, options).cache() if index.posted is None and looked_at(index, options) <= options.cap else None
+    if copies is not None:
+        names = copies.where("copy = 1").select("raw_key", "idx").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # names are few bytes and much work
+        index = HangulIndex(names, "raw_key", "idx", replace(index.policy, strategy="lazy", warm_up=False, max_candidate_scan=None))
+    queries = counted.select(F.col("query").alias("qid"), "query").distinct()
+    pairs = candidates(variants(queries, index, options.layouts), index, options).where("strong or coarse >= 0.05")
     for more in component_columns(options.ngram):
         pairs = pairs.withColumns(more)
-    kept = pairs.select("qid", "vpos", "idx", "raw_key", "text_l", "text_r", "sim_edit", "sim_jaccard", "sim_keyboard", "sim_jamo", "is_exact", "is_prefix").cache()
-    names = [f.name for f in fields(Weights)]
-    table = spark.createDataFrame([(i, *(float(getattr(w, k)) for k in names)) for i, w in enumerate(weights)], "wid int, " + ", ".join(f"w_{k} double" for k in names))
+    kept = pairs.select("qid", "vpos", "idx", "raw_key", "text_l", "text_r", "sim_edit", "sim_jaccard", "sim_keyboard", "sim_jamo", "is_exact", "is_prefix")
+    fits = [f.name for f in fields(Weights)]
+    table = spark.createDataFrame([(i, *(float(getattr(w, k)) for k in fits)) for i, w in enumerate(weights)], "wid int, " + ", ".join(f"w_{k} double" for k in fits))
     tried = kept.join(F.broadcast(table), how="cross")
-    for more in score_columns({k: F.col(f"w_{k}") for k in names}):
+    for more in score_columns({k: F.col(f"w_{k}") for k in fits}):
         tried = tried.withColumns(more)
-    best = tried.where(F.col("score") >= options.minimum).groupBy("wid", "qid", "idx").agg(F.max("score").alias("score"), F.first("raw_key").alias("raw_key"))
-    place = F.row_number().over(Window.partitionBy("wid", "qid").orderBy(F.desc("score"), "idx"))
-    ranked = best.withColumn("rank", place).where(F.col("rank") <= max(1, options.limit))
-    hit = ranked.join(numbered.select("qid", "expected_key"), "qid").where("raw_key = expected_key").groupBy("wid", "qid").agg(F.min("rank").alias("rank"))
-    sums = hit.groupBy("wid").agg(F.count_if(F.col("rank") == 1).alias("a"), F.count_if(F.col("rank") <= 3).alias("b"), F.sum(1 / F.col("rank")).alias("c"), F.count(F.lit(1)).alias("d"))
+
+    def best(rows: DataFrame, *of: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "idx"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= max(1, options.limit))
+
+    formed = best(tried.where(F.col("score") >= options.minimum), "wid", "qid", "vpos")  # what is among the best is so by one of its forms
+    found = best(formed.groupBy("wid", "qid", "idx", "raw_key").agg(F.max("score").alias("score")), "wid", "qid")
+    if copies is not None:
+        found = best(found.select("wid", "qid", "raw_key", "score").join(copies, "raw_key"), "wid", "qid")
+    wanted = counted.select(F.col("query").alias("qid"), F.col("expected_key").alias("raw_key"), "times")
+    hit = found.join(wanted, ["qid", "raw_key"]).groupBy("wid", "qid", "raw_key", "times").agg(F.min("rank").alias("rank"))
+    times = lambda rows: F.sum(F.when(rows, F.col("times")).otherwise(0))
+    sums = hit.groupBy("wid").agg(times(F.col("rank") == 1).alias("a"), times(F.col("rank") <= 3).alias("b"), F.sum(F.col("times") / F.col("rank")).alias("c"), F.sum("times").alias("d"))
     got = {r["wid"]: r for r in sums.collect()}  # a row for each weight
-    kept.unpersist()
-    numbered.unpersist()
+    for held in (counted, copies):
+        if held is not None:
+            held.unpersist()
     return [Metrics(n, *(got[i][k] / n for k in "abcd")) if i in got else Metrics(n) for i in range(len(weights))]
 
 
